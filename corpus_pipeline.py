@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import secrets_scan, sentencepiece_table, toxicity
+from vellum.llm import mixing, near_dedup, secrets_scan, sentencepiece_table, toxicity
 from vellum.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,11 +23,22 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    dropped = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by marks; no document goes. n_chars follows the text."""
     return secrets_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The budget's share of each leaf; a document of two epochs comes twice."""
+    return mixing.select(docs, mixing.TARGET).select(*COLUMNS)
+
+
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token count and digests."""
     return sentencepiece_table.round_trip(docs)
@@ -35,7 +46,9 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", _toxicity),
+    ("near_dedup", _near_dedup),
     ("secrets", _secrets),
+    ("mixing", _mixing),
     ("tokens", _tokens),
 ]
 

@@ -196,7 +196,7 @@ def texts_udf(function, schema: str):
         parts = []
         for start, stop in blocks(batch, "t"):
             got = function(*text_bytes(col.slice(start, stop - start)))
-            parts.append(pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in arrow], fields=list(arrow)))
+            parts.append(pa.StructArray.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], fields=list(arrow)))
         return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}

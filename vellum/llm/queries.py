@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .media_ogg import op10_media
+from .mixing import op8_mixing
+from .near_dedup import op2_near_dedup
 from .secrets_scan import op1_secrets
 from .sentencepiece_table import op7_sentencepiece
 from .toxicity import op5_toxicity
@@ -15,10 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets,
+        op2_near_dedup,
         op5_toxicity,
         op7_sentencepiece,
+        op8_mixing,
         op10_media,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}

@@ -36,7 +36,7 @@ class FTRL:
     l2: float = 1.0
     epochs: int = 6
     positive: float = 4.0
-    max_rows: int = 16000
+    max_rows: int = 12000
     seed: int = 7
 
 
