@@ -6,24 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, url_filters
 from .media_ogg import op10_media
 from .mixing import op8_mixing
 from .near_dedup import op2_near_dedup
+from .quality_gam import op3_quality
+from .quality_rules import op4_quality_rules
 from .secrets_scan import op1_secrets
 from .sentencepiece_table import op7_sentencepiece
 from .toxicity import op5_toxicity
+from .url_filters import op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets,
         op2_near_dedup,
+        op3_quality,
+        op4_quality_rules,
         op5_toxicity,
         op7_sentencepiece,
         op8_mixing,
+        op9_url_filters,
         op10_media,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL, "op9_url_filters": url_filters.ORACLE_SQL}
