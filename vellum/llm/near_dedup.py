@@ -9,9 +9,10 @@ at the end are skipped. Candidates must agree in T coordinates and are then conf
 
 Copies never meet each other as pairs: equal sets form one class, and a list is joined in two
 passes: all members with one pivot (its most central member), then only members that the links so
-far leave in another component than the pivot, with the members of other components. Before that,
-sets go that can't have a link: a link needs 9 * |A & B| >= 4 * (|A| + |B|), and |A & B| is at most
-the number of a set's shingles that any other candidate has.
+far leave in another component than the pivot, with the members of other components. A link needs
+9 * |A & B| >= 4 * (|A| + |B|), and |A & B| is at most the number of a set's shingles that any other
+candidate has: sets and pairs that can't reach it are left out before. In long lists of the second
+pass the bound counts frequent shingles only, and pairs that share a rare one are found by it.
 
 Defined results: texts without words, and null texts, have no shingles and no links; fewer than
 four words make one shingle of the whole sequence; repeated rows are each returned, rows that share
@@ -36,6 +37,9 @@ T = 32
 WORDS = 4
 #: Ids that are broadcast at most to pick candidates' texts in the scan (8 bytes each); beyond, the texts are joined.
 BROADCAST_IDS = 2_000_000
+#: Members of a list that is joined as it is, and documents that have a shingle called rare, at most.
+SHORT = 64
+RARE = 64
 
 _U = np.uint64
 _random = np.random.default_rng(20240607)
@@ -197,7 +201,7 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     may = "9 * least({0}.m, {1}.m) >= 4 * ({0}.n + {1}.n)"
     pivots = (
         lists.groupBy("pair").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("d"), "n", "m")).alias("p"), F.count("*").alias("k")).where("k > 1")
-        .select("pair", (-F.col("p.d")).alias("pivot"), "p.n", "p.m")
+        .select("pair", (-F.col("p.d")).alias("pivot"), "p.n", "p.m", "k")
     )
     first = (
         lists.alias("x").join(pivots.alias("y"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.doc_id") != F.col("y.pivot")) & F.expr(may.format("x", "y")))
@@ -207,19 +211,44 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     labels = components(found, 3)
     named = lists.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     named = materialise(
-        named.join(pivots.select("pair", "pivot"), "pair").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left")
-        .select("pair", "doc_id", "n", "m", "label", F.coalesce("main", "pivot").alias("main")),
+        named.join(pivots.select("pair", "pivot", "k"), "pair").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left")
+        .select("pair", "k", "doc_id", "n", "m", "label", F.coalesce("main", "pivot").alias("main")),
         "named",
     )
-    rest = named.where("label <> main")
-    second = (
-        rest.alias("x").join(named.alias("y"), F.expr("x.pair = y.pair and x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and " + may.format("x", "y")))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    )
+    second = _unmet(named, sets, may)
     more = materialise(links(second.join(first, ["a", "b"], "left_anti"), sets), "links")
     return components(found.union(more))
 
 
+def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
+    """Pairs (a, b) that share a list, lie in different components and may be linked.
+
+    Short lists are joined as they are. In a long list, two members either share a shingle that at
+    most RARE of the long lists' members have, and are found by it, or all they share is frequent,
+    and then the numbers of their frequent shingles bound what they share.
+    """
+    apart = "x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and "
+    rest = named.where("label <> main")
+
+    def pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), F.expr(on))
+        return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+    found = pairs(rest.where(f"k <= {SHORT}"), named.where(f"k <= {SHORT}"), "x.pair = y.pair and " + apart + may.format("x", "y"))
+    open_lists = rest.where(f"k > {SHORT}").select("pair").distinct()
+    long = materialise(named.join(open_lists, "pair", "left_semi"), "long")
+    if long.isEmpty():
+        return found
+    members = long.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("n").alias("n"), F.max("m").alias("m"))
+    held = sets.join(members, "doc_id").select("doc_id", "label", "n", "m", F.explode("shingles").alias("shingle"))
+    rare = materialise(held.join(held.groupBy("shingle").agg(F.count("*").alias("of")).where(f"of <= {RARE}"), "shingle"), "rare")
+    by_rare = pairs(rare, rare, "x.shingle = y.shingle and x.label <> y.label and x.doc_id < y.doc_id and " + may.format("x", "y"))
+    frequent = members.join(rare.groupBy("doc_id").agg(F.count("*").alias("r")), "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"))
+    bounded = materialise(long.drop("m").join(frequent.withColumnRenamed("f", "m"), "doc_id").where("5 * m >= 4 * n"), "frequent")
+    by_list = pairs(bounded.where("label <> main"), bounded, "x.pair = y.pair and " + apart + may.format("x", "y"))
+    return found.union(by_rare).union(by_list).distinct()
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
