@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filters
+from . import mixing, url_filters, warc
 from .media_ogg import op10_media
 from .mixing import op8_mixing
 from .near_dedup import op2_near_dedup
@@ -16,6 +16,7 @@ from .secrets_scan import op1_secrets
 from .sentencepiece_table import op7_sentencepiece
 from .toxicity import op5_toxicity
 from .url_filters import op9_url_filters
+from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality,
         op4_quality_rules,
         op5_toxicity,
+        op6_warc,
         op7_sentencepiece,
         op8_mixing,
         op9_url_filters,
@@ -32,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL, "op9_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.ORACLE_SQL,
+    "op8_mixing": mixing.ORACLE_SQL,
+    "op9_url_filters": url_filters.ORACLE_SQL,
+}
