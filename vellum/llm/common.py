@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at most, but for a single longer text.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 300_000
+#: Bytes of an Arrow batch between the JVM and Python, unless the session's own limit is lower.
+BATCH_BYTES = 2 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -160,8 +163,13 @@ class Words:
 
 
 def ship() -> None:
-    """Puts the folder of this package on the path of Python workers, where it is not installed."""
+    """Puts the folder of this package on the path of Python workers, where it is not installed, and bounds Arrow batches."""
     sc = SparkContext._active_spark_context
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH, "64m"))
+        if most <= 0 or most > BATCH_BYTES:
+            spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if sc is not None:
         root = str(Path(__file__).resolve().parents[2])
         had = sc.environment.get("PYTHONPATH", "")
@@ -197,6 +205,7 @@ def texts_udf(function, schema: str):
         for start, stop in blocks(batch, "t"):
             got = function(*text_bytes(col.slice(start, stop - start)))
             parts.append(pa.StructArray.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], fields=list(arrow)))
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}

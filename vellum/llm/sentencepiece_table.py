@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table, texts_udf
 
 MARK = "▁"
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 60_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
