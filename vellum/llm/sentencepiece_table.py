@@ -34,7 +34,7 @@ def default_model() -> str:
 
 
 class ChunkTable:
-    """Chunks of one model: ids joined by spaces, and the decoded chunk without its first space."""
+    """Chunks of one model: ids joined by spaces, and what a chunk decodes to, without its first space, where that is another text."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -48,7 +48,7 @@ class ChunkTable:
         self.mark = m.piece_to_id(MARK)
         self.end = m.eos_id()
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}  # of chunks that don't decode to themselves
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -69,7 +69,7 @@ class ChunkTable:
             ids = self.model.encode(new, num_threads=1)
             ids = [x if c else [self.mark] for c, x in zip(new, ids, strict=True)]  # a marker alone
             self.ids.update((c, " ".join(map(str, x))) for c, x in zip(new, ids, strict=True))
-            self.decoded.update(zip(new, self.model.decode(ids, num_threads=1), strict=True))
+            self.decoded.update((c, d) for c, d in zip(new, self.model.decode(ids, num_threads=1), strict=True) if c != d)
 
     def encode(self, text: str) -> str:
         """Ids with the end id, in decimal, joined by one space."""
@@ -79,7 +79,9 @@ class ChunkTable:
 
     def decode(self, text: str) -> str:
         """What the model's decode() makes of encode(text)."""
-        return " ".join([self.decoded[c] for c in self.chunks(text)])
+        if not self.decoded and MARK not in text:
+            return text
+        return " ".join([self.decoded.get(c, c) for c in self.chunks(text)])
 
 
 _tables: dict[str, ChunkTable] = {}
