@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, held_out, table, texts_udf
 
-BITS = 22
+BITS = 21
 _U = np.uint64
 
 
@@ -36,7 +36,7 @@ class FTRL:
     l2: float = 1.0
     epochs: int = 6
     positive: float = 4.0
-    max_rows: int = 12000
+    max_rows: int = 10000
     seed: int = 7
 
 
