@@ -122,7 +122,7 @@ def proper_nouns(text: Column) -> Column:
 
     def inner(sentence: Column) -> Column:
         parts = F.filter(F.split(sentence, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda w: w != F.lower(w))  # few have capitals
 
     bare = F.transform(F.flatten(F.transform(sentences(text), inner)), lambda w: F.regexp_replace(w, r"^[\"'()\[\],;:.!?]+|[\"'()\[\],;:.!?]+$", ""))
     named = F.filter(bare, lambda w: w.rlike(r"^[A-Z][A-Za-z'&.-]+[A-Za-z]$") & (w != F.upper(w)) & ~F.array_contains(common, F.lower(w)))

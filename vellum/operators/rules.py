@@ -17,21 +17,33 @@ INLINE_TERMS = 200
 
 def lost_numbers(source: Column, target: Column) -> Column:
     """Numbers of the source that the target has nowhere, repeats kept."""
-    return F.transform(F.array(T.numbers_in(target)), lambda have: F.filter(T.raw_numbers_in(source), lambda n: ~F.array_contains(have, n)))[0]
+    lost = F.transform(F.array(T.numbers_in(target)), lambda have: F.filter(T.raw_numbers_in(source), lambda n: ~F.array_contains(have, n)))[0]
+    return F.when(source.rlike(r"\p{Nd}"), lost).otherwise(F.array().cast("array<string>"))
 
 
-def dropped_nouns(source: Column, target: Column, names: Column | None = None) -> Column:
-    """Proper nouns of the source (or `names`, those no lexicon has) that are nowhere in the target."""
+def dropped_nouns(source: Column, target: Column, names: Column | None = None, title: Column | None = None) -> Column:
+    """Proper nouns of the source (or `names`, those no lexicon has) that are nowhere in the target; none of titles."""
     found = T.proper_nouns(source) if names is None else names
-    return F.filter(F.when(T.looks_like_title(source), F.array().cast("array<string>")).otherwise(found), lambda n: ~F.contains(target, n))
+    missing = F.filter(found, lambda n: ~F.contains(target, n))
+    return F.when(T.looks_like_title(source) if title is None else title, F.array().cast("array<string>")).otherwise(missing)
 
 
 def missed_terms(source: Column, target: Column, terms: list[tuple[str, str]]) -> Column:
     """Glossary terms in the source whose rendering isn't in the target."""
     if len(terms) > INLINE_TERMS:
         raise ValueError(f"more than {INLINE_TERMS} terms: use glossary_misses()")
-    hits = [F.when(T.has_term(source, en) & ~F.contains(target, F.lit(mr)), F.lit(en)) for en, mr in terms if en and mr]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    pairs = [(en, mr) for en, mr in terms if en and mr]
+    if not pairs:
+        return F.array().cast("array<string>")
+
+    def folded(t: Column) -> Column:
+        return F.lower(F.upper(t))
+
+    # a plain search decides most texts; the pattern looks at the rest
+    def hits(low: Column) -> Column:
+        return F.array(*(F.when(F.contains(low, folded(F.lit(en))) & T.has_term(source, en) & ~F.contains(target, F.lit(mr)), F.lit(en)) for en, mr in pairs))
+
+    return F.array_compact(F.transform(F.array(folded(source)), hits)[0])
 
 
 def findings(pairs: DataFrame, terms: list[tuple[str, str]] = (), key: str = "doc_id") -> DataFrame:
@@ -39,7 +51,8 @@ def findings(pairs: DataFrame, terms: list[tuple[str, str]] = (), key: str = "do
     src, raw = F.coalesce(F.col("src"), F.lit("")), F.coalesce(F.col("tgt"), F.lit(""))
     named = F.col("names") if "names" in pairs.columns else None
     base = pairs.select(key, src.alias("src"), raw.alias("raw"), T.strip_markup(raw).alias("tgt"), *(["names"] if named is not None else []))
-    base = base.withColumn("bare", T.strip(F.col("tgt"))).withColumn("prose", T.is_prose(F.col("src")))
+    base = base.withColumn("bare", T.strip(F.col("tgt"))).withColumn("title", T.looks_like_title(F.col("src")))
+    base = base.withColumn("prose", (F.size(T.translatable_words(F.col("src"))) > 0) & ~F.col("title"))
     s, t, n = F.col("src"), F.col("tgt"), F.length("src")
     long = n > 120
     hits = [
@@ -48,7 +61,7 @@ def findings(pairs: DataFrame, terms: list[tuple[str, str]] = (), key: str = "do
         F.size(lost_numbers(s, t)) > 0,
         T.has_devanagari_digits(t),
         T.unbalanced(F.col("raw"), "i") | T.unbalanced(F.col("raw"), "b"),
-        F.size(dropped_nouns(s, t, named)) > 2,
+        F.size(dropped_nouns(s, t, named, F.col("title"))) > 2,
         F.size(missed_terms(s, t, list(terms))) > 0,
         long & (F.length(t) * 100 < n * 45),
         long & (F.length(t) * 10 > n * 22),

@@ -27,6 +27,12 @@ def query(sql: str | None):
     return add
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Dealt over all cores where a small file gives the scan fewer tasks; larger tables are left as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -42,7 +48,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, "").when(k == 1, t).when(k == 2, F.regexp_replace(t, "[0-9]", "")).when(k == 3, F.translate(t, "0123456789", T.DEVANAGARI_DIGITS))
         .when(k == 4, F.concat(F.lit("<b>"), F.expr("left(text, length(text) div 3)"))).when(k == 5, F.concat(F.lit("म "), t, F.lit(" "), t, F.lit(" "), t)).otherwise(F.concat(F.lit("म "), t))
     )
-    return docs(spark, d).select("doc_id", "lang", "source", t.alias("src"), target.alias("tgt"))
+    return spread(docs(spark, d).select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", t.alias("src"), target.alias("tgt"))
 
 
 def joined(c: Column) -> Column:
