@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from vellum.operators import assemble as A
 from vellum.operators import layout as L
 
-FONT = "CharisSIL"
+FONT = "Serif"
 
 
 def page(spark, *blocks):
@@ -45,7 +45,7 @@ def test_runs_follow_healed_and_collapsed_text(spark):
 
 
 def test_bold_by_font_and_sizes(spark):
-    r = page(spark, {"lines": [spans(("HEADING", 0, "CharisSIL-Bold"))]})[0]
+    r = page(spark, {"lines": [spans(("HEADING", 0, "Serif-Bold"))]})[0]
     assert r.style.runs[0].b and (r.style.size, r.style.size_max) == (10.0, 10.0) and r.x1 == 100.0
 
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import checks, corpus, glossary, jobs, ledger, prompts, rules, state, structure
+from vellum.operators import checks, corpus, glossary, jobs, ledger, overview, prompts, rules, state, structure
 from vellum.sources import files
 from vellum.streaming import state_stream
 
@@ -179,9 +179,9 @@ def test_cost_floors_after_summing(spark):
 def test_revision_rate_and_report(spark):
     b = spark.createDataFrame([("g", "a", " a\n"), ("g", "a", "b")], "g string, draft string, final string")
     assert tuple(ledger.revision_rate(b, "g").first()) == ("g", 2, 1, 50.0, False)
-    out = spark.createDataFrame([(1, 0, "sol", "x")], "page_no int, block_index int, tier string, text string")
-    pivot = ledger.tier_pivot(out, ["sol", "luna"], "page_no", "block_index").withColumn("source", F.lit("s"))
-    assert ledger.markdown(pivot, ["sol", "luna"]).first().value == "**Source [0]**\n\n> s\n\n*sol*\n\n> x\n\n*luna*\n\n> (missing)"
+    out = spark.createDataFrame([(1, 0, "large", "x")], "page_no int, block_index int, tier string, text string")
+    pivot = ledger.tier_pivot(out, ["large", "small"], "page_no", "block_index").withColumn("source", F.lit("s"))
+    assert ledger.markdown(pivot, ["large", "small"]).first().value == "**Source [0]**\n\n> s\n\n*large*\n\n> x\n\n*small*\n\n> (missing)"
 
 
 def test_corpus_operators(spark):
@@ -249,3 +249,16 @@ def test_stream_upserts(spark, tmp_path):
         state_stream.upsert_stream(spark.readStream.schema(schema).parquet(src), out, mark, empty).awaitTermination(60)
     assert {(r.page_no, r.id, r.status) for r in spark.read.parquet(out).collect()} == {(1, "b", "pending"), (2, "c", "pending")}
     assert state_stream.latest_attempts(spark.createDataFrame([(dt.datetime(2024, 1, 1), 1, "k", 2, 0), (dt.datetime(2024, 1, 1), 1, "k", 1, 1)], "ts timestamp, page_no long, kind string, attempt int, passed int")).first().attempt == 2
+
+
+def test_model_choice_probes_once():
+    asked, cache = [], {}
+
+    def probe(name):
+        asked.append(name)
+        return {"vision": True} if name == "b" else None
+
+    assert overview.choose_model(["a", "b"], probe, cache) == overview.choose_model(["a", "b"], probe, cache) == ("b", {"vision": True})
+    assert asked == ["a", "b", "a"]
+    with pytest.raises(LookupError):
+        overview.choose_model(["a"], probe, cache)

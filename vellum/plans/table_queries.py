@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import assemble, checks, corpus, glossary, jobs, layout, ledger, state, structure
+from ..operators import assemble, checks, corpus, glossary, jobs, layout, ledger, overview, rules, state, structure
 from ..sources import files
 from . import sql as S
 from .text_queries import TERMS, docs, n, pages, pairs
@@ -534,3 +534,48 @@ def text_layer(spark, d):
         got = checks.text_layer(t.where(F.col("lang") == lang).select(F.col("tgt").alias("text"))).select(F.lit(lang).alias("lang"), "devanagari", "tofu", "chars", "passed")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+@query(f"select doc_id, n_chars from documents where length(regexp_replace(left(text, doc_id % 60), '^{S.BLANK}+|{S.BLANK}+$', '', 'g')) < 20")
+def image_only_pages(spark, d):
+    """Pages with hardly any text (here cut short by number)."""
+    t = docs(spark, d).withColumn("text", F.expr("left(text, doc_id % 60)"))
+    return overview.image_only_pages(t).select("doc_id", "n_chars")
+
+
+@query("""with p as (select lang, source, count(*) as pages, sum(length(text))::bigint as chars from documents group by all), i as (select lang, source, count(distinct doc_id // 3) as images from documents where doc_id % 4 = 0 group by all)
+select lang, source, pages, chars, coalesce(images, 0) as images, chars >= 1000 as usable from p left join i using (lang, source)""")
+def document_stats(spark, d):
+    """Pages, characters and distinct images of each chapter."""
+    t = docs(spark, d)
+    return overview.document_stats(t, t.where("doc_id % 4 = 0").withColumn("xref", F.expr("doc_id div 3")), "lang", "source")
+
+
+@query("select event_id, event_type, case user_id % 3 when 0 then 'low' when 1 then 'medium' else 'high' end as severity from events where user_id % 3 <> 0")
+def severe_findings(spark, d):
+    """Findings worth acting on."""
+    k = F.col("user_id") % 3
+    e = events(spark, d).withColumn("severity", F.when(k == 0, "low").when(k == 1, "medium").otherwise("high"))
+    return overview.severe(e).select("event_id", "event_type", "severity")
+
+
+@query("select event_id, value from events order by value desc, event_id limit 3")
+def worst_three(spark, d):
+    """The three largest deficits (a limit that is the feature)."""
+    return overview.worst(events(spark, d).select("event_id", "value"), "value", "event_id")
+
+
+@query("select doc_id, length(regexp_replace(text, '[\\x20\\x09-\\x0D\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]', '', 'g')) as glyphs from documents")
+def glyph_counts(spark, d):
+    """Characters that leave ink."""
+    return overview.glyph_counts(docs(spark, d)).select("doc_id", n(F.col("glyphs")).alias("glyphs"))
+
+
+@query(f"""with {S.PAIRS}, miss as ({" union all ".join(f"select doc_id, 'Glossary mismatch: {en} -> {mr}' as r from pairs where coalesce(tgt, '') <> '' and contains(lower(src), '{en}') and not contains(tgt, '{mr}')" for en, mr in TERMS)}),
+w as (select doc_id, max(r) as reason from miss group by doc_id)
+select p.doc_id, case when doc_id % 2 = 0 and reason is not null then 'flagged' when doc_id % 2 = 0 then 'final' else 'drafted' end as status, case when doc_id % 2 = 0 then reason end as reason from pairs p left join w using (doc_id)""")
+def flagged_blocks(spark, d):
+    """Final blocks flagged for a missed term."""
+    p = pairs(spark, d)
+    status = p.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "final").otherwise("drafted").alias("status"))
+    return overview.flagged(status, rules.substring_misses(p, list(TERMS)), "doc_id")
