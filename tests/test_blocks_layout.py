@@ -44,6 +44,12 @@ def test_runs_follow_healed_and_collapsed_text(spark):
     assert [(r.source_text[x.start : x.end], x.i, x.b) for x in r.style.runs] == [("bold", False, True), ("it", True, False)]
 
 
+def test_runs_follow_composition(spark):
+    r = page(spark, {"lines": [spans("cafe", "\u0301 au ", ("lait", 2, FONT), " n\u0303", ("o", 16, FONT))]})[0]
+    assert r.source_text == "caf\u00e9 au lait \u00f1o"
+    assert [r.source_text[x.start : x.end] for x in r.style.runs] == ["lait", "o"]
+
+
 def test_bold_by_font_and_sizes(spark):
     r = page(spark, {"lines": [spans(("HEADING", 0, "Serif-Bold"))]})[0]
     assert r.style.runs[0].b and (r.style.size, r.style.size_max) == (10.0, 10.0) and r.x1 == 100.0

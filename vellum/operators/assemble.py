@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ def assembled(block: Column) -> Column:
     """struct<text, size, size_max, runs> of a raw block.
 
     Spans join without a separator, lines with a space; one hyphen at a line's end goes with the
-    space. Each piece is composed and its characters are counted before offsets are taken, so runs
-    stay right; white space is collapsed in the text and in the offsets alike.
+    space. White space is collapsed in the text and in the offsets alike. Characters aren't composed
+    yet: see composed().
     """
     lines = F.coalesce(block.lines, F.array().cast(f"array<struct<spans:array<{SPAN}>>>"))
     last = F.size(lines) - 1
@@ -81,11 +84,29 @@ def _finished(a: Column) -> Column:
     return F.struct(text.alias("text"), size.alias("size"), F.coalesce(F.array_max(a.sizes), size).alias("size_max"), merge_runs(runs).alias("runs"))
 
 
+def composed(text: Column, runs: Column) -> Column:
+    """struct<text, runs>: characters composed, and each offset moved to where its prefix ends after that."""
+
+    def move(texts: pd.Series, all_runs: pd.Series) -> pd.DataFrame:
+        out_text, out_runs = [], []
+        for t, rs in zip(texts, all_runs, strict=True):
+            rs = [dict(start=int(r["start"]), end=int(r["end"]), i=bool(r["i"]), b=bool(r["b"])) for r in (rs if rs is not None else [])]
+            if t is not None and not unicodedata.is_normalized("NFC", t):
+                for r in rs:
+                    r["start"], r["end"] = (len(unicodedata.normalize("NFC", t[: r[k]])) for k in ("start", "end"))
+                t = unicodedata.normalize("NFC", t)
+            out_text.append(t)
+            out_runs.append([r for r in rs if r["start"] < r["end"]])
+        return pd.DataFrame({"text": out_text, "runs": out_runs})
+
+    return F.pandas_udf(move, f"text string, runs {RUNS}")(text, runs)
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages (page_no, blocks: raw blocks): text ones that aren't blank, numbered from 0, composed."""
     kept = F.filter(F.transform(F.filter("blocks", lambda b: b.type == 0), lambda b: F.struct(b.bbox.alias("bbox"), assembled(b).alias("got"))), lambda b: b.got.text.rlike(r"[^\x20\x09-\x0D]"))
-    flat = pages.select("page_no", F.posexplode(kept).alias("block_index", "b"))
+    flat = pages.select("page_no", F.posexplode(kept).alias("block_index", "b")).withColumn("c", composed(F.col("b.got.text"), F.col("b.got.runs")))
     return flat.select(
         "page_no", "block_index", *(F.round(F.col(f"b.bbox.{c}"), 2).alias(c) for c in ("x0", "y0", "x1", "y1")),
-        T.nfc(F.col("b.got.text")).alias("source_text"), F.struct("b.got.size", "b.got.size_max", "b.got.runs").alias("style"),
+        F.col("c.text").alias("source_text"), F.struct("b.got.size", "b.got.size_max", "c.runs").alias("style"),
     )
