@@ -252,3 +252,16 @@ def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as shingles from w),
+e as (select doc_id, unnest(shingles) as h from s),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 80 * (len(x.shingles) + len(y.shingles) - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from s union select r.doc_id, edges.b from reach r join edges on edges.a = r.other)
+select doc_id, any_value(len(shingles)) as n_shingles, min(other) as component_id, doc_id = min(other) as kept from s join reach using (doc_id) group by doc_id
+"""

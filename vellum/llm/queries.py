@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filters, warc
+from . import mixing, near_dedup, url_filters, warc
 from .media_ogg import op10_media
 from .mixing import op8_mixing
 from .near_dedup import op2_near_dedup
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
