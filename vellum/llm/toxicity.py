@@ -30,12 +30,12 @@ _U = np.uint64
 class FTRL:
     """Parameters of the learner. positive weighs rows of label 1; max_rows bounds the labelled sample."""
 
-    alpha: float = 1.0
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 10.0
+    l1: float = 15.0
     l2: float = 1.0
     epochs: int = 6
-    positive: float = 4.0
+    positive: float = 8.0
     max_rows: int = 10000
     seed: int = 7
 
