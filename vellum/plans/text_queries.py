@@ -143,20 +143,20 @@ def looks_like_title(spark, d):
 @query(f"select doc_id, {S.joined(S.nouns('text'))} as nouns from documents")
 def proper_nouns(spark, d):
     """Likely names of each text."""
-    return docs(spark, d).select("doc_id", joined(T.proper_nouns(F.col("text"))).alias("nouns"))
+    return spread(docs(spark, d).select("doc_id", "text")).select("doc_id", joined(T.proper_nouns(F.col("text"))).alias("nouns"))
 
 
 @query(f"select distinct unnest({S.lexicon_words('text')}) as word from documents")
 def lexicon(spark, d):
     """Every lower-case word of the corpus."""
-    return rules.lexicon(docs(spark, d))
+    return rules.lexicon(spread(docs(spark, d).select("doc_id", "text")))
 
 
 @query(f"""with lex as (select distinct unnest({S.lexicon_words('text')}) as word from documents), nn as (select doc_id, unnest({S.nouns('text')}) as noun from documents)
 select doc_id, noun from nn where lower(noun) not in (select word from lex) and regexp_replace(lower(noun), '^[''’s]+|[''’s]+$', '', 'g') not in (select word from lex)""")
 def unknown_tokens(spark, d):
     """Names that the lexicon doesn't have."""
-    t = docs(spark, d)
+    t = spread(docs(spark, d).select("doc_id", "text"))
     return rules.unknown_nouns(t, rules.lexicon(t))
 
 
