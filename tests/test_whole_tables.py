@@ -18,3 +18,18 @@ def test_frames_of_every_page_and_line(spark, tmp_path):
             if (i + box) % 5 and m - box * 4 >= 2:  # a rule across and one down
                 want.append((i, x, y, x + 150, y + 40))
     assert sorted(tuple(r) for r in table_queries.Q["rule_frames"](spark, d).collect()) == sorted(want)
+
+
+def test_output_pages_of_every_page(spark, tmp_path):
+    lengths = {i: i * 1237 % 9001 for i in [*range(280, 330), 1000, 10_000]}
+    d = documents(spark, tmp_path, {i: "x" * m for i, m in lengths.items()})
+    want = []
+    for book in range(10):
+        starts, before = [], 0
+        for i in sorted(i for i in lengths if i % 10 == book):
+            starts.append((i, i - 1 + before))
+            before += lengths[i] // 3000
+        for k, (i, start) in enumerate(starts):
+            stop = starts[k + 1][1] if k + 1 < len(starts) else start + lengths[i] // 3000 + 1
+            want += [(book, i, o) for o in range(start, max(stop, start + 1))]
+    assert sorted(tuple(r) for r in table_queries.Q["vision_targets"](spark, d).select("book", "page_no", "out_page").collect()) == sorted(want)

@@ -182,7 +182,7 @@ def vision_targets(spark, d):
     """Output pages of each source page."""
     extra = _extra(spark, d)
     mapped = structure.page_offsets(extra, "book").join(extra, ["book", "page_no"])
-    return structure.vision_targets(mapped, F.col("out_idx") + F.col("n_extra") + 1, "book").where("page_no < 300")
+    return structure.vision_targets(mapped, F.col("out_idx") + F.col("n_extra") + 1, "book")
 
 
 @query("""with o as (select n_nationkey as idx, n_name as title, n_nationkey * 7 as page from nation), m as (select doc_id as page_no, doc_id + length(text) // 1000 as out_idx from documents where doc_id % 3 <> 0),
