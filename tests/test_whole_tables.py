@@ -33,3 +33,10 @@ def test_output_pages_of_every_page(spark, tmp_path):
             stop = starts[k + 1][1] if k + 1 < len(starts) else start + lengths[i] // 3000 + 1
             want += [(book, i, o) for o in range(start, max(stop, start + 1))]
     assert sorted(tuple(r) for r in table_queries.Q["vision_targets"](spark, d).select("book", "page_no", "out_page").collect()) == sorted(want)
+
+
+def test_whole_pages_are_sanitised(spark, tmp_path):
+    html = "a" * 250 + "\x01b\x85\n" + "c" * 300 + "\x1f"
+    spark.createDataFrame([(1, html), (2, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in text_queries.Q["sanitise"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a" * 250 + "b\n" + "c" * 300 + "x", 2: "x"}

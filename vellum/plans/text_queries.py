@@ -238,7 +238,7 @@ def substring_flags(spark, d):
 @query("select page_id, regexp_replace(left(html, 200) || chr(7) || chr(127) || 'x', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g') as text from pages")
 def sanitise(spark, d):
     """Control characters removed."""
-    t = F.concat(F.left("html", F.lit(200)), F.lit("\x07\x7fx"))
+    t = F.concat("html", F.lit("\x07\x7fx"))
     return pages(spark, d).select("page_id", T.without_controls(t).alias("text"))
 
 
