@@ -40,3 +40,55 @@ def test_whole_pages_are_sanitised(spark, tmp_path):
     spark.createDataFrame([(1, html), (2, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.text for r in text_queries.Q["sanitise"](spark, str(tmp_path)).collect()}
     assert got == {1: "a" * 250 + "b\n" + "c" * 300 + "x", 2: "x"}
+
+
+def wrapped(words, width, size):
+    """Lines of whole words, each shorter than a line, of characters half as wide as high."""
+    lines, used = 0, None
+    for w in words:
+        if used is None or used + 1 + len(w) > int(width / (size * 0.5)):
+            lines, used = lines + 1, len(w)
+        else:
+            used += 1 + len(w)
+    return lines
+
+
+def brute_flow(texts, size):
+    """(rung, placements, spill) of long lines that end their sentences: each is a paragraph of full width."""
+    blocks = [(72.0 + 18 * (i % 5 == 0), 72.0 + 14 * i, 72.0 + 14 * i + 13 + len(t) % 5, t) for i, t in enumerate(texts)]
+    for rung, (scale, pin, line) in enumerate(((1.0, True, 1.30), (0.65, True, 1.30), (1.0, False, 1.30), (0.6, False, 1.30), (0.3, False, 1.30), (0.3, False, 1.22), (0.25, False, 1.16))):
+        cursor, placed, spill = 72.0, [], []
+        for k, (x, y0, y1, t) in enumerate(blocks):
+            top, words = max(y0, cursor) if pin else cursor, t.split(" ")
+            fit = 0
+            if 720 - top >= size * 1.4:
+                while fit < len(words) and wrapped(words[: fit + 1], 540 - x, size) * size * line <= 720 - top:
+                    fit += 1
+            if fit:
+                placed.append((k, " ".join(words[:fit]), round(top, 6)))
+            if fit < len(words):
+                spill = [" ".join(words[fit:]), *(b[3] for b in blocks[k + 1 :])]
+                break
+            gap = max(blocks[k + 1][1] - y1, 0.0) if k + 1 < len(blocks) else 0.0
+            cursor = top + wrapped(words, 540 - x, size) * size * line + min(gap, size * 1.6) * scale
+        if not spill:
+            break
+    return rung, placed, spill
+
+
+def test_flow_of_whole_texts_equals_brute_force(spark, tmp_path):
+    def line(n, m):
+        return " ".join("w" * (1 + (n * 7 + k * k) % 11) for k in range(m)) + "."
+
+    pages = {1: [line(1, 120)], 2: [line(k, 90) for k in range(6)], 3: [line(2, 2500)], 4: [line(k, 150 + 40 * k) for k in range(9)], 5: [line(k, 60) for k in range(40)]}
+    d = documents(spark, tmp_path, {i: "\n".join(t) for i, t in pages.items()})
+    rows = table_queries.Q["page_flow"](spark, d).collect()
+    rungs = set()
+    for i, texts in pages.items():
+        mine = [r for r in rows if r.page_no == i]
+        rung, placed, spill = brute_flow(texts, 10.0 + i % 3)
+        assert {r.rung for r in mine} == {rung}
+        assert sorted((r.group_no, r.text, round(r.y0, 6)) for r in mine if not r.spilled) == placed
+        assert sorted(r.text for r in mine if r.spilled) == sorted(spill)
+        rungs.add((rung, bool(spill)))
+    assert (0, False) in rungs and (6, True) in rungs
