@@ -85,3 +85,35 @@ def test_urls_of_awkward_tables(spark):
 def test_urls_stay_native(spark):
     plan = U.judge(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), [["host:a"]])._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def rule_families(spark, path):
+    """Tables of 40 families of six shared tokens, nine of ten bad in every fourth, with labels: more than 1,000 passing combinations."""
+    rows, labels = [], []
+    for f in range(40):
+        for i in range(20):
+            n = 100 * f + i
+            rows.append((n, f"http://h{f}a.h{f}b.h{f}c.org/{'x' * (f + 1)}/{'y' * (f + 1)}/{'z' * (f + 1)}/{n}"))
+            labels.append((n, int(f % 4 == 0 and i % 10 == 0), 0))
+    for n in range(4000, 4800):
+        rows.append((n, f"http://fine.org/{n}"))
+        labels.append((n, 1, 0))
+    rows += [(9000, "http://h0a.org/9000"), (9001, "http://h39a.net/es/1"), (9002, None), (9003, "http://h39a.org/x"), (9003, "http://h39a.org/x")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_many_rules_equal_sql(spark, tmp_path):
+    d = rule_families(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(U.ORACLE_SQL).fetchall()))
+    assert sorted(map(str, (tuple(r) for r in U.op9_url_filters(spark, d).collect()))) == want
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    learnt = U.labelled_urls(pages, spark.read.parquet(f"{d}/labels.parquet"))
+    listed, joined = U.mine(learnt), U.mine(learnt, U.Mining(most_rules=5))
+    assert len(listed) == 240 and sorted(r.tokens for r in joined.collect()) == listed
+    got = U.judge(pages, joined).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == want

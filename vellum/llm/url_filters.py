@@ -4,10 +4,11 @@ FP-growth mines token combinations of labelled URLs together with the item of a
 (tokens => bad) stays while its support, its confidence and the lower bound of its confidence
 (Wilson, 95 %) are high enough and no rule with fewer of its tokens is as confident. Rules are
 matched by an inverted index from each rule's rarest token; a URL is looked up by its own tokens.
+Few rules are an index within the plan, many are a table that the URLs' tokens are joined with.
 
 Defined results: null URLs and URLs without `://` have an empty host and path, no rule and the
 verdict `allow`; of rules that fit, the longest wins, then the alphabetically first; without usable
-labels nothing is mined; repeated rows are judged alike; extra columns stay and existing columns
+labels nothing is mined; repeated rows are judged alike; every rule is kept, however many there are; extra columns stay and existing columns
 named like added ones are replaced.
 """
 
@@ -35,7 +36,7 @@ BAD = "label:bad"
 
 @dataclass(frozen=True)
 class Mining:
-    """support: share of labelled URLs that are bad and have the tokens. most_rules bounds the index."""
+    """support: share of labelled URLs that are bad and have the tokens. Up to most_rules rules are an index within the plan, more are joined."""
 
     support: float = 0.002
     confidence: float = 0.8
@@ -81,8 +82,8 @@ def by_rule(host: str = "host", path: str = "path", rules=RULES) -> tuple[Column
     return rule, verdict
 
 
-def mine(labelled: DataFrame, m: Mining = Mining()) -> list[list[str]]:
-    """Token combinations that tell of a bad label, from (tokens, bad); each list's rarest token first."""
+def mine(labelled: DataFrame, m: Mining = Mining()) -> list[list[str]] | DataFrame:
+    """Token combinations that tell of a bad label, from (tokens, bad); each list's rarest token first. More than most_rules come as a table of `tokens`."""
     rows = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     rows = materialise(rows.where(F.size("items") > 0), "labelled_urls")
     if rows.isEmpty():
@@ -92,11 +93,25 @@ def mine(labelled: DataFrame, m: Mining = Mining()) -> list[list[str]]:
     found = model.associationRules.where(bad & (F.size("antecedent") <= m.tokens)).withColumn("n", F.col("support") / F.col("confidence") * rows.count())
     c, n = F.col("confidence"), F.col("n")
     lower = (c + 1.9208 / n - 1.96 * F.sqrt((c * (1 - c) + 0.9604 / n) / n)) / (1 + 3.8416 / n)
-    kept = found.where(lower >= m.lower).orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(m.most_rules).collect()
-    single = {r["items"][0]: r["freq"] for r in model.freqItemsets.where(F.size("items") == 1).limit(100 * m.most_rules).collect()}
-    confidence = {frozenset(r["antecedent"]): r["confidence"] for r in kept}
-    out = [s for s, v in confidence.items() if not any(t < s and w >= v for t, w in confidence.items())]
-    return sorted(sorted(s, key=lambda t: (single.get(t, 0), t)) for s in out)
+    kept = materialise(found.where(lower >= m.lower).select(F.array_sort("antecedent").alias("tokens"), "confidence"), "passing_rules")
+    if kept.isEmpty():
+        return []
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    token = minimal(kept).select("tokens", F.explode("tokens").alias("token")).join(single, "token")
+    by_rarity = F.array_sort(F.collect_list(F.struct("freq", "token")))
+    rules = materialise(token.groupBy("tokens").agg(by_rarity.alias("r")).select(F.col("r.token").alias("tokens")), "rules")
+    few = rules.limit(m.most_rules + 1).collect()
+    return rules if len(few) > m.most_rules else sorted(r["tokens"] for r in few)
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """(tokens, confidence), tokens sorted, without rules of which a proper part is a rule at least as confident."""
+    none = F.array(F.array().cast("array<string>"))
+    parts = F.aggregate("tokens", none, lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, t))))
+    proper = F.filter(parts, lambda s: (F.size(s) > 0) & (F.size(s) < F.size("tokens")))
+    part = rules.select("tokens", "confidence", F.explode(proper).alias("part"))
+    smaller = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
+    return rules.join(part.join(smaller, "part").where("part_confidence >= confidence").select("tokens"), "tokens", "left_anti")
 
 
 def hits(rules: list[list[str]], tokens: str = "tokens") -> Column:
@@ -111,13 +126,26 @@ def hits(rules: list[list[str]], tokens: str = "tokens") -> Column:
     return F.exists(tokens, lambda t: F.exists(rest(t), lambda r: F.forall(r, lambda x: F.array_contains(F.col(tokens), x))))
 
 
-def judge(pages: DataFrame, mined: list[list[str]], rules=RULES) -> DataFrame:
+def hit_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """_hit_url: the distinct urls, of (url, _tokens), that have all the tokens of a rule, by a join on each rule's first token."""
+    each = urls.where("url is not null").select("url", "_tokens", F.explode("_tokens").alias("_token"))
+    index = rules.select(F.col("tokens")[0].alias("_first"), F.col("tokens").alias("_rule"))
+    fits = (F.col("_token") == F.col("_first")) & F.forall("_rule", lambda t: F.array_contains(F.col("_tokens"), t))
+    return each.join(index, fits, "left_semi").select(F.col("url").alias("_hit_url")).distinct()
+
+
+def judge(pages: DataFrame, mined: list[list[str]] | DataFrame, rules=RULES) -> DataFrame:
     """Adds host, path, rule and verdict to rows with a `url`."""
     parsed = pages.withColumn("host", host_of()).withColumn("path", path_of())
     rule, said = by_rule(rules=rules)
     got = parsed.withColumn("_tokens", tokens_of()).withColumn("rule", rule).withColumn("_said", said)
-    verdict = F.coalesce(F.col("_said"), F.when(hits(mined, "_tokens"), F.lit("block")).otherwise(F.lit("allow")))
-    return got.withColumn("verdict", verdict).drop("_tokens", "_said")
+    if isinstance(mined, DataFrame):
+        got = got.join(hit_urls(got.select("url", "_tokens"), mined), F.col("url") == F.col("_hit_url"), "left")
+        hit = F.col("_hit_url").isNotNull()
+    else:
+        hit = hits(mined, "_tokens")
+    verdict = F.coalesce(F.col("_said"), F.when(hit, F.lit("block")).otherwise(F.lit("allow")))
+    return got.withColumn("verdict", verdict).drop("_tokens", "_said", "_hit_url")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
