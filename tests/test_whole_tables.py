@@ -92,3 +92,8 @@ def test_flow_of_whole_texts_equals_brute_force(spark, tmp_path):
         assert sorted(r.text for r in mine if r.spilled) == sorted(spill)
         rungs.add((rung, bool(spill)))
     assert (0, False) in rungs and (6, True) in rungs
+def test_tags_are_snapped_to_the_end(spark, tmp_path):
+    text = "क" * 30 + "<i>\u093f</i>" + "ख" * 30
+    d = documents(spark, tmp_path, {6: text, 3: text})
+    got = [tuple(r) for r in text_queries.Q["snap_clusters"](spark, d).collect()]
+    assert got == [(6, "<b> </b>" + "क" * 30 + "\u093f<i></i>" + "ख" * 30)]

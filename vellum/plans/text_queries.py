@@ -288,5 +288,5 @@ def close_tags(spark, d):
 @query(f"""with {S.PAIRS} select doc_id, '<b>' || substr(tgt, 2, 1) || '</b>' || substr(tgt, 3, 20) as snapped from pairs where tgt like 'म %'""")
 def snap_clusters(spark, d):
     """A tag set inside a cluster moves behind it; clean tags stay."""
-    t = F.concat(F.lit("<b>"), F.substring("tgt", 2, 1), F.lit("</b>"), F.substring("tgt", 3, 20))
+    t = F.concat(F.lit("<b>"), F.substring("tgt", 2, 1), F.lit("</b>"), F.expr("substring(tgt, 3)"))
     return pairs(spark, d).where(F.col("tgt").like("म %")).select("doc_id", M.snap_to_clusters(t).alias("snapped"))
