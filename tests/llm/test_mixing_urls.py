@@ -28,6 +28,22 @@ def test_select_equals_brute_force(spark, sf, monkeypatch, leaf_range):
     assert sorted(tuple(r) for r in X.op8_mixing(spark, sf).collect()) == sorted(con.execute(X.ORACLE_SQL).fetchall())
 
 
+@pytest.mark.parametrize("mix", [X.Mix(), X.Mix(share=1.1, weights={"a": 3.0, "x": 0.0, ("b", "z"): 5.0, ("b", "z", "7"): 0.5}), X.Mix(share=0.3, max_epochs=1, weights={"3": 9.0})])
+def test_budgets_by_window_sums_equal_the_drivers(spark, mix):
+    leaves = {(d, m, str(s)): (37 * s * (len(m) + ord(d)) ** 2) % 991 * (s != 4) for d in "ab" for m in ("x", "y", "z", 'q"') for s in range(12)}
+    df = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "d string, l string, s string, tokens long")
+    got = {(r.d, r.l, r.s): r.budget for r in X.budgeted(df, mix, ["d", "l", "s"]).collect()}
+    want = X.budgets(leaves, mix)
+    assert got == want and any(want.values())
+
+
+def test_more_leaves_than_are_broadcast(spark, sf, awkward, monkeypatch):
+    want = sorted(tuple(r) for r in X.op8_mixing(spark, sf).collect())
+    monkeypatch.setattr(X, "MOST_LEAVES", 3)
+    assert sorted(tuple(r) for r in X.op8_mixing(spark, sf).collect()) == want
+    assert X.select(awkward, X.Mix(share=1.0, max_epochs=1)).count() == 22
+
+
 def test_mixing_awkward_rows(awkward, nothing):
     got = X.select(awkward, X.Mix(share=1.0, max_epochs=1)).collect()
     assert len(got) == 22 and got[0].score == 9.0 and {r.epoch for r in got} == {0}

@@ -17,16 +17,17 @@ taken or left together; no rows or no tokens give an empty result; extra columns
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 from .common import materialise, table
 
 RANGE = 1000
-#: Leaves that are budgeted on the driver and broadcast, at most; a larger tree is refused.
+#: Leaves that are budgeted on the driver and broadcast, at most; a larger tree is budgeted by window sums and joined.
 MOST_LEAVES = 200_000
 
 
@@ -80,6 +81,35 @@ def budgets(leaves: dict[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...
     return {p: int(given[p] + 1e-6) for p in leaves}
 
 
+def _weight(mix: Mix, path: list[str]) -> Column:
+    """Mix.weight() of the node whose path is in these columns."""
+    by_path = {json.dumps(k, ensure_ascii=False, separators=(",", ":")): float(w) for k, w in mix.weights.items() if not isinstance(k, str) and len(k) == len(path)}
+    by_name = {k: float(w) for k, w in mix.weights.items() if isinstance(k, str)}
+    look = lambda d, key: F.try_element_at(F.from_json(F.lit(json.dumps(d)), "map<string,double>"), key)
+    return F.coalesce(look(by_path, F.to_json(F.array(*path))), look(by_name, F.col(path[-1])), F.lit(1.0))
+
+
+def budgeted(leaves: DataFrame, mix: Mix, path: list[str]) -> DataFrame:
+    """leaves (columns of path, tokens) with `budget`: what budgets() gives, level by level by window sums over siblings."""
+    held = F.sum("tokens").cast("double")
+    given = leaves.agg(F.least(mix.share * held, mix.max_epochs * held).alias("given"))
+    for k in range(1, len(path) + 1):
+        parent, name = path[: k - 1], path[k - 1]
+        nodes = leaves.groupBy(*path[:k]).agg((held * mix.max_epochs).alias("most")).withColumn("w", _weight(mix, path[:k]))
+        nodes = nodes.join(given, parent) if parent else nodes.crossJoin(broadcast(given))
+        siblings = Window.partitionBy(*parent)
+        ratio = F.when(F.col("w") > 0, F.try_divide("most", "w"))
+        first = siblings.orderBy(ratio.asc_nulls_last(), F.asc(name)).rowsBetween(Window.unboundedPreceding, -1)
+        last = siblings.orderBy(ratio.desc_nulls_first(), F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)
+        nodes = nodes.withColumns({"before": F.coalesce(F.sum("most").over(first), F.lit(0.0)), "weight": F.sum("w").over(last)})
+        nodes = nodes.withColumn("full", (F.col("w") > 0) & (F.col("most") * F.col("weight") <= F.col("w") * (F.col("given") - F.col("before"))))
+        taken = F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(siblings), F.lit(0.0))
+        weight = F.sum(F.when(~F.col("full"), F.col("w"))).over(siblings)
+        share = F.when(F.col("w") == 0, 0.0).when(F.col("full"), F.col("most")).otherwise(F.try_divide(F.col("w") * (F.col("given") - taken), weight))
+        given = nodes.select(*path[:k], share.alias("given"))
+    return leaves.join(given, path).withColumn("budget", F.floor(F.col("given") + 1e-6).cast("long")).drop("given")
+
+
 _LEAF = ("domain", "lang", "source")
 
 
@@ -96,22 +126,29 @@ def _key(mix: Mix, epoch: Column) -> Column:
 
 
 def plan(documents: DataFrame, mix: Mix) -> DataFrame:
-    """For each leaf with a budget: whole epochs, and the last (key, doc_id) of the next one that fits (null: none)."""
+    """For each leaf with a budget: whole epochs, and the last (key, doc_id) of the next one that fits (null: none); to be broadcast up to MOST_LEAVES leaves."""
     spark = documents.sparkSession
     leaf = [f"_{c}" for c in _LEAF]
     slim = materialise(_branches(documents).select("doc_id", *leaf, "_tokens"), "slim")
-    stats = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")).limit(MOST_LEAVES + 1).collect()
-    if len(stats) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    held = {tuple(r[c] for c in leaf): r for r in stats}
-    given = budgets({p: r.tokens for p, r in held.items()}, mix)
-    rows = []
-    for p, b in given.items():
-        n = held[p].tokens
-        whole, rest = divmod(b, n) if n else (0, 0)
-        rows.append((*p, whole, rest, max(1, held[p].rows // RANGE)))
-    cuts = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in leaf) + ", whole int, rest long, ranges long")
-    keyed = slim.join(broadcast(cuts), leaf).withColumn("key", _key(mix, F.col("whole"))).withColumn("range", F.expr("key div (1152921504606846976L div ranges + 1)"))
+    leaves = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
+    stats = leaves.limit(MOST_LEAVES + 1).collect()
+    few = len(stats) <= MOST_LEAVES
+    if few:
+        held = {tuple(r[c] for c in leaf): r for r in stats}
+        given = budgets({p: r.tokens for p, r in held.items()}, mix)
+        rows = []
+        for p, b in given.items():
+            n = held[p].tokens
+            whole, rest = divmod(b, n) if n else (0, 0)
+            rows.append((*p, whole, rest, max(1, held[p].rows // RANGE)))
+        cuts = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in leaf) + ", whole int, rest long, ranges long")
+    else:
+        del stats
+        parts = {"whole": "cast(budget div tokens as int)", "rest": "budget % tokens"}
+        parts = {c: F.when(F.col("tokens") > 0, F.expr(e)).otherwise(0).alias(c) for c, e in parts.items()}
+        got = budgeted(materialise(leaves, "leaves"), mix, leaf)
+        cuts = materialise(got.select(*leaf, *parts.values(), F.greatest(F.lit(1), F.expr(f"rows div {RANGE}")).cast("long").alias("ranges")), "budgets")
+    keyed = slim.join(broadcast(cuts) if few else cuts, leaf).withColumn("key", _key(mix, F.col("whole"))).withColumn("range", F.expr("key div (1152921504606846976L div ranges + 1)"))
     ranges = keyed.groupBy(*leaf, "rest", "range").agg(F.sum("_tokens").alias("tokens"))
     ends = ranges.selectExpr(*leaf, "rest", "range", f"sum(tokens) over (partition by {', '.join(leaf)} order by range) as upto", "tokens")
     edge = ends.where("upto > rest and upto - tokens <= rest").selectExpr(*leaf, "range", "upto - tokens as before")
@@ -122,14 +159,14 @@ def plan(documents: DataFrame, mix: Mix) -> DataFrame:
         .where("upto <= rest").groupBy(*leaf).agg(F.max(F.struct("key", "doc_id")).alias("last"))
     )
     out = cuts.join(whole_ranges, leaf, "left").join(last, leaf, "left")
-    return materialise(out.select(*leaf, "whole", "ranges", "full", "last"), "cuts")
+    out = materialise(out.select(*leaf, "whole", "ranges", "full", "last"), "cuts")
+    return broadcast(out) if few else out
 
 
 def select(documents: DataFrame, mix: Mix) -> DataFrame:
     """A row for each document and epoch it is taken in, with `domain`, `n_tokens` and `epoch` added."""
     leaf = [f"_{c}" for c in _LEAF]
-    cuts = plan(documents, mix)  # MOST_LEAVES rows at most
-    named = _branches(documents).join(broadcast(cuts), leaf).withColumn("_key", _key(mix, F.col("whole")))
+    named = _branches(documents).join(plan(documents, mix), leaf).withColumn("_key", _key(mix, F.col("whole")))
     in_full = F.expr("_key div (1152921504606846976L div ranges + 1) <= full")
     fits = F.coalesce(in_full, F.lit(False)) | F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id")) <= F.col("last"), F.lit(False))
     taken = F.col("whole") + fits.cast("int")
