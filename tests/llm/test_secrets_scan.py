@@ -56,3 +56,15 @@ def test_awkward_rows(awkward, nothing):
     texts = {r.doc_id: r.text for r in X.redact(awkward).collect()}
     assert texts[4] is None and texts[3] == "" and "abcdefgh" not in texts[10]
     assert X.scan(nothing).count() == 0 and X.redact(nothing).count() == 0
+
+
+def test_literals_are_scored_whole():
+    literal = "a" * 300 + "Zx81-kQ99_p2Lm"
+    assert [X.lexed(f'{name} = "{literal}"') for name in ("credential", "passphrase")] == [[(14, 14 + len(literal))]] * 2
+    assert X.lexed('credential = "' + "a" * 314 + '"') == []
+
+
+def test_any_number_of_blanks_beside_operators():
+    t = "passphrase" + " " * 100 + "=" + "\t" * 100 + '"aB3dE5gH"' + " " * 100 + "+" + " " * 100 + '"9jK2mN4p"'
+    assert [t[a:b] for a, b in X.lexed(t)] == ["aB3dE5gH", "9jK2mN4p"]
+    X.spans_of(("name" + " " * 1000) * 1000)

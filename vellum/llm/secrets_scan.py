@@ -30,9 +30,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more among all runs
 
 _QUOTED = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
-_PAIR = re.compile(r"""(?<![\w.\-])(["'`]?)([A-Za-z_][\w.\-]*+)\1[\x20\t]{0,64}(?::=|=>|=(?!=)|:)[\x20\t]{0,64}""", re.A)
+_PAIR = re.compile(r"""(?<![\w.\-])(["'`]?)([A-Za-z_][\w.\-]*+)\1[\x20\t]*+(?::=|=>|=(?!=)|:)[\x20\t]*+""", re.A)
 _OPERAND = re.compile(rf"""({_QUOTED})|([A-Za-z0-9+/_.=\-]++)""", re.A)
-_JOIN = re.compile(r"[\x20\t]{0,64}\+[\x20\t]{0,64}")
+_JOIN = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
 _NAME = re.compile(r"[A-Za-z_][\w.]*+", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -55,10 +55,8 @@ def literal_score(literal: str) -> float:
     n = len(literal)
     if n < 6 or " " in literal or literal.lower() in ("changeme", "example", "placeholder", "undefined", "your_key_here"):
         return 0.0
-    head = literal[:256]
-    counts = Counter(head)
-    entropy = -sum(k / len(head) * math.log2(k / len(head)) for k in counts.values())
-    kinds = sum(bool(re.search(p, head)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
+    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, n / 16) + min(1.0, entropy / 3.5) + (kinds - 1) / 3
 
 
@@ -68,6 +66,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
         return []
     constants: dict[str, list[tuple[int, int]]] = {}
     found: set[tuple[int, int]] = set()
+    scores: dict[tuple, float] = {}  # of literals, so that one used by many names is read once
     at = 0
     while pair := _PAIR.search(text, at):
         name, at = pair[2], pair.end()
@@ -87,7 +86,11 @@ def lexed(text: str) -> list[tuple[int, int]]:
             continue
         constants[name] = spans
         score = name_score(name)
-        if score >= 2.5 and score + literal_score("".join(text[a:b] for a, b in spans)) >= PASSES:
+        if score < 2.5:
+            continue
+        if (key := tuple(spans)) not in scores:
+            scores[key] = literal_score("".join(text[a:b] for a, b in spans))
+        if score + scores[key] >= PASSES:
             found.update((a, b) for a, b in spans if b > a)
     return sorted(found)
 
