@@ -70,3 +70,11 @@ def test_awkward_pages(spark):
 
 def test_empty_table(spark):
     assert written(spark, []) == []
+
+
+def test_one_page_id_with_two_payloads(spark, tmp_path):
+    y, z = "y" * 1500, "z" * 1700
+    spark.createDataFrame([(1, "u", y), (5, "u", y), (5, "u", z)], KIND).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in W.op6_warc(spark, str(tmp_path)).collect())
+    dy, dz = (hashlib.sha1(t.encode()).hexdigest() for t in (y, z))
+    assert sorted(got, key=str) == sorted([(1, 1500, dy, "revisit", 5), (5, 1500, dy, "response", None), (5, 1700, dz, "response", None)], key=str)

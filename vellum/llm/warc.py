@@ -6,12 +6,15 @@ payloads that hold such a line. Tasks emit a candidate for each with the place w
 must start, by its Content-Length; places in a file follow from the sums of the blocks before. From the start of each
 file, pointer jumping over runs of candidates that follow each other keeps those that the chain
 reaches; the others were magic inside payloads, and their bytes go back to the record around them.
-A chain that doesn't end with its file raises an error.
+A chain that doesn't end with its file raises an error. Candidates are ordered by place within a
+file, without their bytes but for cut ones: own archives are of one task's size, a foreign one of
+tens of GB has its (narrow) candidates sorted in one task.
 
 Defined results: a null payload is written as an empty one; of equal payloads of at least
 `MIN_REVISIT` bytes the one with the largest page_id is the response and the others revisit it (a
 null page_id never is the largest unless all are null; rows that repeat the largest page_id are all
-responses); line ends in URLs are percent-encoded; empty tables give empty archives; extra columns
+responses; a revisit names its response by page_id and digest, so that a page_id with several payloads
+adds no rows); line ends in URLs are percent-encoded; empty tables give empty archives; extra columns
 are ignored.
 """
 
@@ -37,10 +40,10 @@ _LINE = MAGIC[:-1].encode()
 _DATE = "2024-01-01T00:00:00Z"
 _HEADER = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)\r?$", re.M)
 
-_CANDIDATE = "file string, size long, block long, at long, length long, declared long, kind string, page_id long, refers_to long, payload_bytes long, digest string, magic boolean, within boolean, raw binary"
-_PLACED = "file string, size long, pos long, length long, declared long, kind string, page_id long, refers_to long, payload_bytes long, digest string, raw binary"
-_SAID = ("declared", "kind", "page_id", "refers_to", "payload_bytes", "digest")
-_RECORD = "page_id long, kind string, refers_to long, payload_bytes long, digest string"
+_CANDIDATE = "file string, size long, block long, at long, length long, declared long, kind string, page_id long, refers_to long, promised string, payload_bytes long, digest string, magic boolean, within boolean, raw binary"
+_PLACED = "file string, size long, pos long, length long, declared long, kind string, page_id long, refers_to long, promised string, payload_bytes long, digest string, raw binary"
+_SAID = ("declared", "kind", "page_id", "refers_to", "promised", "payload_bytes", "digest")
+_RECORD = "page_id long, kind string, refers_to long, promised string, payload_bytes long, digest string"
 _RAW = "file string, block long, at long, length long, raw binary"
 
 
@@ -105,7 +108,11 @@ def parse(record: bytes) -> dict | None:
     if not length.isdigit() or b"warc-type" not in fields:
         return None
     declared = head + 4 + int(length)
-    out = {"declared": declared, "kind": fields[b"warc-type"].decode("latin-1"), "page_id": _number(fields.get(b"warc-page-id")), "refers_to": _number(fields.get(b"warc-refers-to"))}
+    promised = fields.get(b"warc-payload-digest")
+    out = {
+        "declared": declared, "kind": fields[b"warc-type"].decode("latin-1"), "page_id": _number(fields.get(b"warc-page-id")), "refers_to": _number(fields.get(b"warc-refers-to")),
+        "promised": promised.rpartition(b":")[2].decode("latin-1").lower() if promised else None,
+    }
     if declared <= len(record):
         block = record[head + 4 : declared]
         payload = block[block.find(b"\r\n\r\n") + 4 :]
@@ -240,7 +247,7 @@ def chain(placed: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, kind, refers_to, payload_bytes, digest of every record of the archives below `path`, from their bytes."""
+    """page_id, kind, refers_to, promised, payload_bytes, digest of every record of the archives below `path`, from their bytes. promised: the digest that its header names, digest: that of its payload."""
     ship()
     found = materialise(_merged(_placed(materialise(_lines(spark, path).mapInArrow(_candidates, _CANDIDATE), "candidates"))), "placed")
     kept = materialise(chain(found.drop("raw")), "chained")
@@ -251,7 +258,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     inner = len(MAGIC)
     whole = kept.where(f"declared + {inner} <= length")
     cut = kept.where(f"declared + {inner} > length")
-    got = ["page_id", "kind", "refers_to", "payload_bytes", "digest"]
+    got = ["page_id", "kind", "refers_to", "promised", "payload_bytes", "digest"]
     if cut.isEmpty():
         return whole.select(*got)
     return whole.select(*got).union(_rejoined(spark, path, found, cut).select(*got))
@@ -288,11 +295,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     records = materialise(read(spark, path), "records")
-    full = records.where("kind = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("digest").alias("d")).distinct()
-    revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", "kind").join(full, "refers_to", "left")
+    full = records.where("kind = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("digest").alias("promised")).distinct()
+    revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", "promised", "kind").join(full, ["refers_to", "promised"], "left")  # a page_id may have several payloads
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     first = records.where("kind = 'response'").select("page_id", "payload_bytes", "digest", "kind", F.lit(None).cast("long")).toDF(*columns)
-    return first.union(revisits.select("page_id", "n", "d", "kind", "refers_to").toDF(*columns))
+    return first.union(revisits.select("page_id", "n", "promised", "kind", "refers_to").toDF(*columns))
 
 
 ORACLE_SQL = f"""
