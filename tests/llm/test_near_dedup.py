@@ -66,7 +66,7 @@ def test_edit_families_and_shared_passages(spark):
 
 def test_long_lists_go_through_the_bounds(spark, monkeypatch):
     monkeypatch.setattr(N, "SHORT", 6)
-    monkeypatch.setattr(N, "RARE", 4)
+    monkeypatch.setattr(N, "SPLIT", 5)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(f"e{rng.random()}" if rng.random() < rng.choice([0, 0.02, 0.05, 0.08]) else w for w in base)) for i in range(120)]
@@ -74,11 +74,36 @@ def test_long_lists_go_through_the_bounds(spark, monkeypatch):
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    splits = lambda i: 1 + i % 3
+    pairs = [(i, i + 1) for i in range(40)] + [(101, 100), (7, 7), (7, 8)]
+    edges = spark.createDataFrame([(a, b, splits(a), splits(b)) for a, b in pairs], "p long, q long, p_splits int, q_splits int")
     got = {r.node: r.label for r in N.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_pages_of_one_template_rarely_meet(spark, monkeypatch):
+    """Fields from common values between a template's words: all pages share lists and every shingle is frequent, yet few pairs are compared."""
+    monkeypatch.setattr(N, "SPLIT", 40)
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(230)]
+    rows = []
+    for i in range(600):
+        words = list(template)
+        for at in range(10, 220, 21):  # ten fields, 40 of some 230 shingles, each value held by about ten pages
+            words[at] = f"v{at}x{rng.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    links = N.links
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return links(pairs, sets)
+
+    monkeypatch.setattr(N, "links", counted)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert sum(compared) < 600 * 599 / 2 / 5, compared
+
+
 def test_awkward_rows(awkward, nothing):
     got = [r for r in N.near_duplicates(awkward).collect()]
     by = {r.doc_id: r for r in got if r.doc_id is not None}

@@ -11,8 +11,11 @@ Copies never meet each other as pairs: equal sets form one class, and a list is
 passes: all members with one pivot (its most central member), then only members that the links so
 far leave in another component than the pivot, with the members of other components. A link needs
 9 * |A & B| >= 4 * (|A| + |B|), and |A & B| is at most the number of a set's shingles that any other
-candidate has: sets and pairs that can't reach it are left out before. In long lists of the second
-pass the bound counts frequent shingles only, and pairs that share a rare one are found by it.
+candidate has: sets and pairs that can't reach it are left out before. Long lists of the second pass
+are merged by prefixes of the sets themselves (_unmet()).
+
+Hot keys are split: posts, pairs and holders are counted before they are joined, so both sides of a
+join know in how many parts a key is dealt; the side with few rows of it is copied to each part.
 
 Defined results: texts without words, and null texts, have no shingles and no links; fewer than
 four words make one shingle of the whole sequence; repeated rows are each returned, rows that share
@@ -26,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
@@ -35,11 +38,14 @@ from .common import Words, materialise, mix, table, texts_udf
 K = 64
 T = 32
 WORDS = 4
-#: Ids that are broadcast at most to pick candidates' texts in the scan (8 bytes each); beyond, the texts are joined.
-BROADCAST_IDS = 2_000_000
-#: Members of a list that is joined as it is, and documents that have a shingle called rare, at most.
+#: Ids that are broadcast at most to pick candidates' texts in the scan (some 100 bytes each in memory); beyond, the texts are joined.
+BROADCAST_IDS = 500_000
+#: Members of a list that is joined as it is, at most.
 SHORT = 64
-RARE = 64
+#: Members of a list, pairs of a document, or holders of a shingle that one task gets of a hot one, about; a part of its own for each more.
+SPLIT = 256
+#: Parts of every key where counts aren't known beforehand.
+JUMPS = 8
 
 _U = np.uint64
 _random = np.random.default_rng(20240607)
@@ -103,10 +109,9 @@ def _sets(raw: np.ndarray, starts: np.ndarray) -> dict:
 def _linked(batches):
     """Pairs that agree in T coordinates and whose full sets are similar enough."""
     for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
         keep = np.zeros(batch.num_rows, bool)
         views = []
-        for name in ("a_pairs", "b_pairs", "a_shingles", "b_shingles"):
+        for name in ("p_pairs", "q_pairs", "p_shingles", "q_shingles"):
             col = batch.column(name)
             views.append((col.offsets.to_numpy(), col.values.to_numpy()))
         (pa_o, pa_v), (pb_o, pb_v), (sa_o, sa_v), (sb_o, sb_v) = views
@@ -115,34 +120,45 @@ def _linked(batches):
                 x, y = sa_v[sa_o[i] : sa_o[i + 1]], sb_v[sb_o[i] : sb_o[i + 1]]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * common >= 80 * (len(x) + len(y) - common)
-        at = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
+        yield batch.select(["p", "q", "p_splits", "q_splits"]).take(pa.array(np.flatnonzero(keep)))
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are links."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("pairs").alias("a_pairs"), F.col("shingles").alias("a_shingles"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("pairs").alias("b_pairs"), F.col("shingles").alias("b_shingles"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", *left.columns[1:], *right.columns[1:]).mapInArrow(_linked, "a long, b long")
+    """Those of the distinct pairs (p, q) that are links, with `splits` of both. p may be in any number of pairs: its set is sent to `splits` (a function of p) tasks."""
+    heads = pairs.groupBy("p").agg(F.max("splits").alias("n_splits")).join(sets.withColumnRenamed("doc_id", "p"), "p")
+    heads = heads.select("p", F.explode(F.sequence(F.lit(0), F.col("n_splits") - 1)).alias("split"), F.col("splits").alias("p_splits"), F.col("pairs").alias("p_pairs"), F.col("shingles").alias("p_shingles"))
+    tails = sets.select(F.col("doc_id").alias("q"), F.col("splits").alias("q_splits"), F.col("pairs").alias("q_pairs"), F.col("shingles").alias("q_shingles"))
+    dealt = pairs.select("p", "q", _split("q", "splits").alias("split")).join(tails, "q").join(heads, ["p", "split"])
+    return dealt.drop("split").mapInArrow(_linked, "p long, q long, p_splits int, q_splits int")
+
+
+def _split(key: str, splits: str) -> Column:
+    """Which of so many parts a key's row goes to."""
+    return F.pmod(F.xxhash64(key), F.col(splits)).cast("int")
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, label): the smallest node that each node with an edge reaches. rounds: stop early; equal labels then still mean connected.
+    """(node, label): the smallest node that each node with an edge reaches. edges: p, q, and in how many parts each of them is dealt where it is a hub. rounds: stop early; equal labels then still mean connected.
 
     Labels take the smallest one around them, then jump to their own label's label; each round is a written table.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("node", "other"), "edges")
-    labels = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    there = edges.where("p <> q").select(F.col("p").alias("node"), F.col("q").alias("other"), F.col("p_splits").alias("own"), F.col("q_splits").alias("splits"))
+    back = there.select(F.col("other").alias("node"), F.col("node").alias("other"), F.col("splits").alias("own"), F.col("own").alias("splits"))
+    both = materialise(there.union(back).distinct().withColumn("split", _split("node", "splits")).drop("splits"), "edges")
+    labels = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"), F.max("own").alias("own")), "labels")
     done = 1
     while rounds is None or done < rounds:
-        around = both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
-        lower = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = materialise(lower.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("changed")), "labels")
-        labels, done = new.select("node", "label"), done + 1
+        near = labels.select(F.col("node").alias("other"), F.col("label").alias("near"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("split"))
+        around = both.join(near, ["other", "split"]).groupBy("node").agg(F.min("near").alias("near"))
+        lower = labels.join(around, "node").select("node", "label", "own", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far")).where("far <> next").join(lower.select("next").distinct(), "next", "left_semi")
+        jump = jump.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(JUMPS - 1))))
+        dealt = lower.withColumn("split", F.pmod(F.xxhash64("node"), F.lit(JUMPS)).cast("int")).join(jump, ["next", "split"], "left")
+        new = materialise(dealt.select("node", F.least("next", "far").alias("label"), "own", (F.least("next", "far") < F.col("label")).alias("changed")), "labels")
+        labels, done = new.select("node", "label", "own"), done + 1
         if rounds is None and new.where("changed").isEmpty():
             break
-    return labels
+    return labels.select("node", "label")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -174,15 +190,16 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
         posted.join(counts, "pair")
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("posts", "pair"))).alias("shared"))  # K at most
         .where(F.size("shared") >= T)
-        .select("doc_id", F.expr(f"transform(slice(shared, 1, size(shared) - {T - 1}), s -> s.pair)").alias("prefix"), F.expr("aggregate(shared, 0L, (t, s) -> t + s.posts)").alias("central")),
+        .select("doc_id", F.expr(f"slice(shared, 1, size(shared) - {T - 1})").alias("prefix"), F.expr("aggregate(shared, 0L, (t, s) -> t + s.posts)").alias("central"))
+        .withColumn("splits", F.expr(f"cast(1 + array_max(transform(prefix, s -> s.posts)) div {SPLIT} as int)")),
         "candidates",
     )
-    ids = candidates.select("doc_id")
+    ids = candidates.select("doc_id", "splits")
     if ids.count() <= BROADCAST_IDS:
         ids = broadcast(ids)
-    chosen = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    chosen = documents.select("doc_id", "text").join(ids, "doc_id")
     sets = materialise(
-        chosen.select("doc_id", texts_udf(_sets, "shingles array<long>, pairs array<long>")(F.col("text")).alias("s")).select("doc_id", "s.*").where(F.size("shingles") > 0),
+        chosen.select("doc_id", "splits", texts_udf(_sets, "shingles array<long>, pairs array<long>")(F.col("text")).alias("s")).select("doc_id", "splits", "s.*").where(F.size("shingles") > 0),
         "sets",
     )
     alone = (
@@ -193,60 +210,72 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = sets.groupBy("doc_id").agg(F.max(F.size("shingles")).cast("long").alias("n"))  # several texts of an id: the longest bounds them
     lists = materialise(
         candidates.join(sizes, "doc_id").join(alone, "doc_id", "left")
-        .select("doc_id", "central", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "prefix")
+        .select("doc_id", "central", "splits", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "prefix")
         .where("5 * m >= 4 * n")
-        .select("doc_id", "central", "n", "m", F.explode("prefix").alias("pair")),
+        .select("doc_id", "central", "splits", "n", "m", F.explode("prefix").alias("s"))
+        .select("doc_id", "central", "splits", "n", "m", "s.pair", F.expr(f"s.posts div {SPLIT}").alias("last_part"))
+        .withColumn("part", F.expr("pmod(xxhash64(doc_id), last_part + 1)")),
         "lists",
     )
     may = "9 * least({0}.m, {1}.m) >= 4 * ({0}.n + {1}.n)"
     pivots = (
-        lists.groupBy("pair").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("d"), "n", "m")).alias("p"), F.count("*").alias("k")).where("k > 1")
-        .select("pair", (-F.col("p.d")).alias("pivot"), "p.n", "p.m", "k")
+        lists.groupBy("pair").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("d"), "n", "m", "splits")).alias("p"), F.count("*").alias("k"), F.max("last_part").alias("last_part"))
+        .where("k > 1").select("pair", (-F.col("p.d")).alias("pivot"), "p.n", "p.m", "p.splits", "k", "last_part")
     )
+    to_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_part"))).alias("part")  # a long list meets copies of its pivot in several tasks
     first = (
-        lists.alias("x").join(pivots.alias("y"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.doc_id") != F.col("y.pivot")) & F.expr(may.format("x", "y")))
-        .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+        lists.alias("x").join(pivots.select("pair", "pivot", "n", "m", "splits", to_parts).alias("y"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.pivot")) & F.expr(may.format("x", "y")))
+        .select(F.col("pivot").alias("p"), F.col("doc_id").alias("q"), F.col("y.splits").alias("splits")).distinct()
     )
+    first = materialise(first, "first")
     found = materialise(links(first, sets), "links")
     labels = components(found, 3)
-    named = lists.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    heads = pivots.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left").select("pair", "k", F.coalesce("main", "pivot").alias("main"), to_parts)
     named = materialise(
-        named.join(pivots.select("pair", "pivot", "k"), "pair").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left")
-        .select("pair", "k", "doc_id", "n", "m", "label", F.coalesce("main", "pivot").alias("main")),
+        lists.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(heads, ["pair", "part"])
+        .select("pair", "k", "doc_id", "n", "m", "splits", "label", "main"),
         "named",
     )
-    second = _unmet(named, sets, may)
-    more = materialise(links(second.join(first, ["a", "b"], "left_anti"), sets), "links")
+    met = first.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    second = _unmet(named, sets, may).join(met, (F.least("p", "q") == F.col("a")) & (F.greatest("p", "q") == F.col("b")), "left_anti")
+    more = materialise(links(second, sets), "links")
     return components(found.union(more))
 
 
+def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
+    """Distinct pairs of rows of two tables; the one that may be in more pairs becomes p."""
+    both = x.alias("x").join(y.alias("y"), F.expr(on))
+    turned = both.selectExpr("x.splits > y.splits or (x.splits = y.splits and x.doc_id < y.doc_id) as straight", "x.doc_id as x", "y.doc_id as y", "greatest(x.splits, y.splits) as splits")
+    return turned.select(F.when(F.col("straight"), F.col("x")).otherwise(F.col("y")).alias("p"), F.when(F.col("straight"), F.col("y")).otherwise(F.col("x")).alias("q"), "splits").distinct()
+
+
 def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
-    """Pairs (a, b) that share a list, lie in different components and may be linked.
+    """Pairs (p, q) that share a list, lie in different components and may be linked.
 
-    Short lists are joined as they are. In a long list, two members either share a shingle that at
-    most RARE of the long lists' members have, and are found by it, or all they share is frequent,
-    and then the numbers of their frequent shingles bound what they share.
+    Short lists are joined as they are. Members of long lists meet by their sets: with a set's
+    shingles ordered from rare to frequent, a link's smaller set has one of its first n / 9 + 1
+    among the first n / 5 + 1 of the larger, as they share 4 / 9 of both sizes. What a template
+    gives to all members comes last in that order, so members that only share a template don't meet.
     """
-    apart = "x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and "
     rest = named.where("label <> main")
-
-    def pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
-        both = x.alias("x").join(y.alias("y"), F.expr(on))
-        return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-
-    found = pairs(rest.where(f"k <= {SHORT}"), named.where(f"k <= {SHORT}"), "x.pair = y.pair and " + apart + may.format("x", "y"))
+    apart = "x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and "
+    found = _pairs(rest.where(f"k <= {SHORT}"), named.where(f"k <= {SHORT}"), "x.pair = y.pair and " + apart + may.format("x", "y"))
     open_lists = rest.where(f"k > {SHORT}").select("pair").distinct()
-    long = materialise(named.join(open_lists, "pair", "left_semi"), "long")
-    if long.isEmpty():
+    members = named.where(f"k > {SHORT}").join(open_lists, "pair", "left_semi").groupBy("doc_id").agg(F.first("label").alias("label"), F.max("n").alias("n"), F.max("m").alias("m"))
+    members = materialise(members, "members")
+    if members.isEmpty():
         return found
-    members = long.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("n").alias("n"), F.max("m").alias("m"))
-    held = sets.join(members, "doc_id").select("doc_id", "label", "n", "m", F.explode("shingles").alias("shingle"))
-    rare = materialise(held.join(held.groupBy("shingle").agg(F.count("*").alias("of")).where(f"of <= {RARE}"), "shingle"), "rare")
-    by_rare = pairs(rare, rare, "x.shingle = y.shingle and x.label <> y.label and x.doc_id < y.doc_id and " + may.format("x", "y"))
-    frequent = members.join(rare.groupBy("doc_id").agg(F.count("*").alias("r")), "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"))
-    bounded = materialise(long.drop("m").join(frequent.withColumnRenamed("f", "m"), "doc_id").where("5 * m >= 4 * n"), "frequent")
-    by_list = pairs(bounded.where("label <> main"), bounded, "x.pair = y.pair and " + apart + may.format("x", "y"))
-    return found.union(by_rare).union(by_list).distinct()
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(JUMPS)).cast("int").alias("part")  # a template's shingles are in all sets
+    held = sets.join(members, "doc_id").select("doc_id", "splits", "label", "n", "m", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"), part)
+    held = materialise(held, "held")
+    often = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(JUMPS - 1))))
+    ranked = held.join(often, ["shingle", "part"], "left").groupBy("doc_id", "splits", "label", "n", "m", "set", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "shingle"))).alias("s"))
+    placed = ranked.select("doc_id", "splits", "label", "n", "m", "size", F.posexplode(F.expr("slice(s, 1, size div 5 + 1)")).alias("at", "s"))
+    placed = materialise(placed.where("s.holders > 1").select("doc_id", "splits", "label", "n", "m", "size", "at", "s.shingle", F.expr(f"s.holders div {SPLIT}").alias("last_part")), "placed")
+    smaller = placed.where("at < size div 9 + 1").withColumn("part", F.expr("pmod(xxhash64(doc_id), last_part + 1)"))
+    larger = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_part"))))
+    by_set = _pairs(smaller, larger, "x.shingle = y.shingle and x.part = y.part and x.label <> y.label and x.size <= y.size and 5 * x.size >= 4 * y.size and " + may.format("x", "y"))
+    return found.union(by_set).distinct()
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
