@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import mixing as X
 from vellum.llm import url_filters as U
@@ -133,3 +136,32 @@ def test_many_rules_equal_sql(spark, tmp_path):
     assert len(listed) == 240 and sorted(r.tokens for r in joined.collect()) == listed
     got = U.judge(pages, joined).select("page_id", "host", "path", "rule", "verdict")
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == want
+
+
+def test_tokens_that_come_together_are_one_item(spark):
+    together = [f"t{k:02d}" for k in range(25)]  # 33 million itemsets, if each were an item
+    rows = [([*together, f"n{i}"], True) for i in range(30)] + [(["fine", f"m{i}"], False) for i in range(30)]
+    mined = U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert mined == [[t] for t in together]
+
+
+def test_rules_of_alike_tokens_are_expanded(spark):
+    rows = [(["a1", "a2", *(["x1", "x2"] if i % 2 else ["y"])], bool(i % 2)) for i in range(60)] + [(["x1", "x2"], False) for _ in range(60)]
+    mined = U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert {frozenset(r) for r in mined} == {frozenset({a, x}) for a in ("a1", "a2") for x in ("x1", "x2")}
+
+
+def test_mined_rules_fire_as_in_sql(spark, sf):
+    sf = str(Path(sf).parent / "sf0.01")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = sorted(map(str, (tuple(r) for r in U.mined_url_rules(spark, sf).collect())))
+    assert got == sorted(map(str, con.execute(U.TELLING_SQL).fetchall()))
+    assert sum("block" in r and "None" in r for r in got) > 0
+
+
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(i, "one two three", "en", f"src{i % 3}", i, -i, "k", 7) for i in range(40)], "doc_id long, text string, lang string, source string, last long, ranges long, _key string, epoch int")
+    got = X.select(docs, X.Mix(share=0.5)).collect()
+    assert got and all((r["last"], r.ranges, r["_key"]) == (r.doc_id, -r.doc_id, "k") and r.epoch == 0 for r in got)
+    assert X.select(docs, X.Mix(share=0.5), F.lit(10)).agg(F.sum("n_tokens")).first()[0] <= 200

@@ -26,12 +26,24 @@ def test_chunks_equal_the_library(text):
     assert known.decode(text) == known.model.decode(ids)
 
 
-def test_table_is_bounded(known, monkeypatch):
-    monkeypatch.setattr(S, "MOST_CHUNKS", 50)
+def test_table_is_bounded(monkeypatch):
+    known = S.ChunkTable(S.default_model())
+    monkeypatch.setattr(S, "MOST_BYTES", 600)
     for k in range(30):
-        words = {f"w{k}x{i}" for i in range(20)}
+        words = {f"w{k}x{i}" for i in range(20)} | {"frequent"}
         known.learn(words)
-        assert len(known.ids) <= 70 and words <= known.ids.keys()
+        assert words <= known.new.keys() and known.bytes < 600 + 21 * 40 and len(known.old) < 100
+    assert known.segmented == 30 * 20 + 1  # what is used in every turn is segmented once
+    known.learn({"y" * 5000})
+    known.forget_long({"y" * 5000})
+    assert known.bytes < 1500 and not any(len(c) > S.LONGEST for c in (*known.new, *known.decoded))
+
+
+def test_table_of_the_corpus_gives_the_same_ids(awkward, nothing, spark, sf, known):
+    rows = awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).union(nothing)
+    assert {r.doc_id: r.ids for r in S.joined(rows).collect()} == {r.doc_id: known.model.encode(r.text or "", add_eos=True) for r in rows.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id: r.ids for r in S.joined(docs).collect()} == {r.doc_id: r.ids for r in S.encode(docs).collect()}
 
 
 def test_tokens_query_equals_the_library(spark, sf, known):
@@ -107,3 +119,58 @@ def test_media_of_awkward_rows(awkward, nothing):
     got = [r for r in M.describe(M.store(awkward)).collect()]
     assert len(got) == 22 and {r.payload_bytes for r in got if not r.text} == {64}
     assert M.describe(M.store(nothing)).count() == 0
+
+
+def independent_media(data):
+    """(packets of each stream, last granule of each stream) by a reader that knows the format's tables only."""
+    packets, open_, granules, at = {}, {}, {}, 0
+    while at < len(data):
+        assert data[at : at + 5] == b"OggS\0"
+        granule, serial = int.from_bytes(data[at + 6 : at + 14], "little", signed=True), int.from_bytes(data[at + 14 : at + 18], "little")
+        n = data[at + 26]
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        assert slow_crc(data[at : at + 22] + b"\0" * 4 + data[at + 26 : end]) == int.from_bytes(data[at + 22 : at + 26], "little")
+        place = at + 27 + n
+        for size in data[at + 27 : at + 27 + n]:
+            open_[serial] = open_.get(serial, b"") + data[place : place + size]
+            place += size
+            if size < 255:
+                packets.setdefault(serial, []).append(open_.pop(serial))
+        if granule >= 0:
+            granules[serial] = granule
+        at = end
+    return packets, granules
+
+
+def test_media_and_feature_by_another_reader(spark):
+    import math
+    from collections import Counter
+
+    texts = ["", "x", "plain words " * 30, "é中" * 2000, "z" * 64, "ab" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in M.describe(M.store(df)).collect():
+        packets, granules = independent_media(r.media)
+        payload = b"".join(packets[M.SAMPLES][1:])
+        raw = texts[r.doc_id].encode()
+        assert payload == raw + bytes(-len(raw) % 64 or (0 if raw else 64)) and granules[M.SAMPLES] == len(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        n, values = len(payload), [b - 128 for b in payload]
+        entropy = -sum(k / n * math.log2(k / n) for k in Counter(payload).values())
+        want = {
+            "seconds": n / 8000, "packets": len(packets[M.SAMPLES]) - 1, "mean": sum(values) / n, "rms": math.sqrt(sum(v * v for v in values) / n),
+            "crossings": sum((a >= 0) != (b >= 0) for a, b in zip(values, values[1:], strict=False)), "entropy": entropy,
+        }
+        got = dict(x.split("=") for x in r.feature.split(";"))
+        assert got.keys() == want.keys() and all(abs(float(got[k]) - v) < 1e-4 for k, v in want.items())
+
+
+def test_large_types_are_read_whole():
+    import pyarrow as pa
+
+    from vellum.llm.common import blocks, text_bytes
+
+    for kind, values in ((pa.large_binary(), [b"abc", None, b"defgh"]), (pa.large_string(), ["abc", None, "defgh"]), (pa.binary(), [b"abc", None, b"defgh"])):
+        raw, starts = text_bytes(pa.array(values, kind))
+        assert raw.tobytes() == b"abcdefgh" and starts.tolist() == [0, 3, 3, 8]
+        batch = pa.RecordBatch.from_arrays([pa.array([b"abc", b"", b"defgh"] if "binary" in str(kind) else ["abc", "", "defgh"], kind)], ["t"])
+        assert list(blocks(batch, "t", 4)) == [(0, 2), (2, 3)]

@@ -33,23 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set for a session on one machine; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = f"file://{tempfile.gettempdir()}/vellum-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/vellum-{uuid.uuid4().hex}")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _file_system(spark: SparkSession, folder: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; deleted when the JVM ends."""
+    """A new path below the shared folder; deleted when the JVM ends, if not released before."""
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _file_system(spark, folder)
     fs.mkdirs(p)  # only what exists can be marked for deletion
     fs.deleteOnExit(p)
     return f"{folder}/table"
@@ -60,7 +65,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote for these; nothing that still is to be computed may read them."""
+    for t in tables:
+        fs, p = _file_system(t.sparkSession, t._written_at)
+        fs.delete(p.getParent(), True)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -68,10 +82,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def _ends(col: pa.Array) -> np.ndarray:
+    """Where each value of a string or binary column begins in its buffer, and the end."""
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    kind, size = (np.int64, 8) if wide else (np.int32, 4)
+    return np.frombuffer(col.buffers()[1], kind, len(col) + 1, col.offset * size).astype(np.int64)
+
+
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about `most` bytes in all."""
     col = batch.column(column)
-    ends = np.frombuffer(col.buffers()[1], np.int64 if pa.types.is_large_string(col.type) else np.int32, len(col) + 1, col.offset * (8 if pa.types.is_large_string(col.type) else 4))
+    ends = _ends(col) if len(col) else np.zeros(1, np.int64)
     start = 0
     while start < len(col):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
@@ -82,10 +103,8 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Itera
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each starts (one more entry for the end). Nulls count as empty."""
     if col.null_count:
-        col = col.fill_null("")
-    wide = pa.types.is_large_string(col.type)
-    ends = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, len(col) + 1, col.offset * (8 if wide else 4)).astype(np.int64)
-    data = col.buffers()[2]
+        col = col.fill_null(pa.scalar(b"", col.type) if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    ends, data = _ends(col), col.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[ends[0] : ends[-1]], ends - ends[0]
 

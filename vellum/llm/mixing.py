@@ -12,7 +12,11 @@ that fits then decides every row by comparison.
 
 Defined results: null and empty texts have no tokens and come along with the keys around them; null
 language or source is a branch of its own, named `(none)`; repeated rows have the same key and are
-taken or left together; no rows or no tokens give an empty result; extra columns stay in `select()`.
+taken or left together; no rows or no tokens give an empty result; extra columns stay in `select()`,
+whatever their names, but for ones named like added columns, which are replaced.
+
+Tokens are words unless another count is given; where a later stage cuts words into pieces, shares
+of pieces differ from the weights by the languages' pieces per word.
 """
 
 from __future__ import annotations
@@ -113,10 +117,11 @@ def budgeted(leaves: DataFrame, mix: Mix, path: list[str]) -> DataFrame:
 _LEAF = ("domain", "lang", "source")
 
 
-def _branches(documents: DataFrame) -> DataFrame:
-    """Columns _domain, _lang, _source and _tokens beside the others."""
-    branch = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for c in ("lang", "source")}
-    return documents.withColumns(branch | {"_domain": domain_of("source"), "_tokens": words()})
+def _branches(documents: DataFrame, tokens: Column | None) -> DataFrame:
+    """doc_id, _domain, _lang, _source, _tokens, and the whole row as _row."""
+    branch = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(f"_{c}") for c in ("lang", "source")]
+    n = words() if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    return documents.select("doc_id", domain_of("source").alias("_domain"), *branch, n.alias("_tokens"), F.struct("*").alias("_row"))
 
 
 def _key(mix: Mix, epoch: Column) -> Column:
@@ -125,11 +130,11 @@ def _key(mix: Mix, epoch: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def plan(documents: DataFrame, mix: Mix) -> DataFrame:
+def plan(documents: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
     """For each leaf with a budget: whole epochs, and the last (key, doc_id) of the next one that fits (null: none); to be broadcast up to MOST_LEAVES leaves."""
     spark = documents.sparkSession
     leaf = [f"_{c}" for c in _LEAF]
-    slim = materialise(_branches(documents).select("doc_id", *leaf, "_tokens"), "slim")
+    slim = materialise(_branches(documents, tokens).select("doc_id", *leaf, "_tokens"), "slim")
     leaves = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
     stats = leaves.limit(MOST_LEAVES + 1).collect()
     few = len(stats) <= MOST_LEAVES
@@ -163,15 +168,16 @@ def plan(documents: DataFrame, mix: Mix) -> DataFrame:
     return broadcast(out) if few else out
 
 
-def select(documents: DataFrame, mix: Mix) -> DataFrame:
-    """A row for each document and epoch it is taken in, with `domain`, `n_tokens` and `epoch` added."""
+def select(documents: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
+    """A row for each document and epoch it is taken in, with `domain`, `n_tokens` and `epoch` added. tokens: counts of another tokenizer than words()."""
     leaf = [f"_{c}" for c in _LEAF]
-    named = _branches(documents).join(plan(documents, mix), leaf).withColumn("_key", _key(mix, F.col("whole")))
+    named = _branches(documents, tokens).join(plan(documents, mix, tokens), leaf).withColumn("_key", _key(mix, F.col("whole")))
     in_full = F.expr("_key div (1152921504606846976L div ranges + 1) <= full")
     fits = F.coalesce(in_full, F.lit(False)) | F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id")) <= F.col("last"), F.lit(False))
     taken = F.col("whole") + fits.cast("int")
-    got = named.withColumn("_taken", taken).where("_taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-    return got.withColumns({"domain": F.col("_domain"), "n_tokens": F.col("_tokens")}).drop(*leaf, "_tokens", "_key", "_taken", "whole", "ranges", "full", "last")
+    got = named.withColumn("_taken", taken).where("_taken > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
+    added = {"domain": "_domain", "n_tokens": "_tokens", "epoch": "_epoch"}
+    return got.select(*(F.col("_row")[c].alias(c) for c in documents.columns if c not in added), *(F.col(v).alias(k) for k, v in added.items()))
 
 
 #: Target weights of the query and of the pipeline.

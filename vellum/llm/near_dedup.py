@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-from .common import Words, materialise, mix, table, texts_udf
+from .common import Words, materialise, mix, release, table, texts_udf
 
 K = 64
 T = 32
@@ -146,7 +146,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     back = there.select(F.col("other").alias("node"), F.col("node").alias("other"), F.col("splits").alias("own"), F.col("own").alias("splits"))
     both = materialise(there.union(back).distinct().withColumn("split", _split("node", "splits")).drop("splits"), "edges")
     labels = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"), F.max("own").alias("own")), "labels")
-    done = 1
+    written, done = labels, 1
     while rounds is None or done < rounds:
         near = labels.select(F.col("node").alias("other"), F.col("label").alias("near"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("split"))
         around = both.join(near, ["other", "split"]).groupBy("node").agg(F.min("near").alias("near"))
@@ -155,9 +155,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         jump = jump.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(JUMPS - 1))))
         dealt = lower.withColumn("split", F.pmod(F.xxhash64("node"), F.lit(JUMPS)).cast("int")).join(jump, ["next", "split"], "left")
         new = materialise(dealt.select("node", F.least("next", "far").alias("label"), "own", (F.least("next", "far") < F.col("label")).alias("changed")), "labels")
-        labels, done = new.select("node", "label", "own"), done + 1
+        release(written)
+        labels, written, done = new.select("node", "label", "own"), new, done + 1
         if rounds is None and new.where("changed").isEmpty():
             break
+    release(both)
     return labels.select("node", "label")
 
 
@@ -239,7 +241,10 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     met = first.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     second = _unmet(named, sets, may).join(met, (F.least("p", "q") == F.col("a")) & (F.greatest("p", "q") == F.col("b")), "left_anti")
     more = materialise(links(second, sets), "links")
-    return components(found.union(more))
+    release(candidates, lists, first, named, sets)
+    merged = components(found.union(more))
+    release(found, more)
+    return merged
 
 
 def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
@@ -255,7 +260,8 @@ def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
     Short lists are joined as they are. Members of long lists meet by their sets: with a set's
     shingles ordered from rare to frequent, a link's smaller set has one of its first n / 9 + 1
     among the first n / 5 + 1 of the larger, as they share 4 / 9 of both sizes. What a template
-    gives to all members comes last in that order, so members that only share a template don't meet.
+    gives to all members comes last in that order, so members that only share a template don't meet:
+    at the first shingle that two sets share, the rest of both must still hold what a link needs.
     """
     rest = named.where("label <> main")
     apart = "x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and "
@@ -274,7 +280,7 @@ def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
     placed = materialise(placed.where("s.holders > 1").select("doc_id", "splits", "label", "n", "m", "size", "at", "s.shingle", F.expr(f"s.holders div {SPLIT}").alias("last_part")), "placed")
     smaller = placed.where("at < size div 9 + 1").withColumn("part", F.expr("pmod(xxhash64(doc_id), last_part + 1)"))
     larger = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_part"))))
-    by_set = _pairs(smaller, larger, "x.shingle = y.shingle and x.part = y.part and x.label <> y.label and x.size <= y.size and 5 * x.size >= 4 * y.size and " + may.format("x", "y"))
+    by_set = _pairs(smaller, larger, "x.shingle = y.shingle and x.part = y.part and x.label <> y.label and x.size <= y.size and 9 * least(x.size - x.at, y.size - y.at) >= 4 * (x.size + y.size) and " + may.format("x", "y"))
     return found.union(by_set).distinct()
 
 

@@ -12,7 +12,7 @@ the held-out fifth); every text is measured whole.
 Defined results: null and empty texts have zero words and fail the base rule; without usable labels
 the list is empty and only the base rule rejects; rows with a null label or id aren't learnt from;
 of several labels for an id the largest counts; equal texts get equal verdicts; extra columns stay
-and existing columns named like added ones are replaced.
+and existing columns named like added ones are replaced (an input column `__words` goes).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-from .common import held_out, materialise, table
+from .common import held_out, materialise, release, table
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 _SPACES = " \t\n\x0b\f\r"
@@ -48,9 +48,8 @@ class Condition:
     above: bool  # measure > cut, else measure <= cut
     cut: float
 
-    @property
-    def column(self) -> Column:
-        return F.col(self.measure) > self.cut if self.above else F.col(self.measure) <= self.cut
+    def fits(self, value: Column) -> Column:
+        return value > self.cut if self.above else value <= self.cut
 
     def __str__(self) -> str:
         return f"{self.measure} {'>' if self.above else '<='} {self.cut:g}"
@@ -59,7 +58,13 @@ class Condition:
 Rules = list[tuple[Condition, ...]]
 
 #: What rules are made of: measures by word, but for the number of words.
-MEASURES = ("m_words", "m_word_length", "m_symbols", "m_dup_lines", "m_repeats")
+MEASURES = {"m_words": "n_words", "m_word_length": "word_chars", "m_symbols": "n_symbols", "m_dup_lines": "n_dup_lines", "m_repeats": "n_repeat_words"}
+
+
+def _value(measure: str) -> Column:
+    """A measure from the counts of measures()."""
+    count = F.col(MEASURES[measure]).cast("double")
+    return count if measure == "m_words" else count / F.greatest(F.col("n_words"), F.lit(1))
 
 
 def _bound(value: str, name: str, body: str) -> str:
@@ -68,7 +73,7 @@ def _bound(value: str, name: str, body: str) -> str:
 
 
 def _repeat_words() -> str:
-    """SQL of the number of words in three-word windows found twice or more, from the array `_words`.
+    """SQL of the number of words in three-word windows found twice or more, from the array `__words`.
 
     Windows are hashed; a text whose hashes are distinct is done. Else (hash, place) pairs are sorted,
     places beside an equal hash are sorted again, and each adds the words that the one before didn't cover.
@@ -78,36 +83,25 @@ def _repeat_words() -> str:
     heavy = _bound("sort_array(transform(w, (h, i) -> named_struct('h', h, 'i', i)))", "s", covered)
     windows = "transform(sequence(0, size(hs) - 3), i -> xxhash64(hs[i], hs[i + 1], hs[i + 2]))"
     some = _bound(windows, "w", f"if(size(array_distinct(w)) = size(w), 0L, {heavy})")
-    return f"if(size(_words) < 4, 0L, {_bound('transform(_words, x -> xxhash64(x))', 'hs', some)})"
+    return f"if(size(__words) < 4, 0L, {_bound('transform(__words, x -> xxhash64(x))', 'hs', some)})"
 
 
 def measures(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.trim(whole, F.lit(_SPACES))
-    split = documents.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_SPACE}+")))
+    split = documents.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_SPACE}+")))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     got = split.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
         "n_repeat_words": F.expr(_repeat_words()),
-    }).drop("_words")
+    }).drop("__words")
     return got.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _ratios(measured: DataFrame) -> DataFrame:
-    per_word = F.greatest(F.col("n_words"), F.lit(1))
-    return measured.withColumns({
-        "m_words": F.col("n_words").cast("double"),
-        "m_word_length": F.col("word_chars") / per_word,
-        "m_symbols": F.col("n_symbols") / per_word,
-        "m_dup_lines": F.col("n_dup_lines") / per_word,
-        "m_repeats": F.col("n_repeat_words") / per_word,
-    })
-
-
 def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", p: Covering = Covering()) -> Rules:
     """An ordered list of conjunctions that reject."""
     chosen = (
@@ -116,9 +110,11 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", p: Co
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
     )
     names = list(MEASURES)
-    joined = documents.select("doc_id", "text").join(broadcast(chosen), "doc_id")  # max_rows rows at most
-    rows = _ratios(measures(joined)).where("not base_failed").selectExpr("_y <= 0 as bad", "pmod(xxhash64(doc_id, 3), 3) > 0 as grows", *names)
-    rows = materialise(rows, "labelled")
+    # the sample is written before it is measured: a filter on measures would else be taken below the join, to all documents
+    sample = materialise(documents.select("doc_id", "text").join(broadcast(chosen), "doc_id"), "sample")  # max_rows rows at most
+    kept = measures(sample).where("not base_failed")
+    rows = materialise(kept.select(F.expr("_y <= 0").alias("bad"), F.expr("pmod(xxhash64(doc_id, 3), 3) > 0").alias("grows"), *(_value(n).alias(n) for n in names)), "labelled")
+    release(sample)
     shares = [k / p.cuts for k in range(1, p.cuts)]
     found = rows.where("grows").agg(*(F.percentile_approx(n, shares, 10000).alias(n) for n in names)).first()
     bad = rows.where("grows").agg(F.max("bad").alias("any")).first()
@@ -148,10 +144,11 @@ def _bin(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(name) > c))
 
 
-def _all(rule: tuple[Condition, ...]) -> Column:
+def _all(rule: tuple[Condition, ...], of=F.col) -> Column:
+    """All conditions; of: gives the column of a measure."""
     out = F.lit(True)
     for c in rule:
-        out = out & c.column
+        out = out & c.fits(of(c.measure))
     return out
 
 
@@ -214,11 +211,11 @@ def _centred(rows: DataFrame, rule: tuple[Condition, ...]) -> tuple[Condition, .
 
 def judge(documents: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """Adds the measures, base_failed, `rule` (the one that rejects, else null) and `kept`."""
-    measured = _ratios(measures(documents, text))
+    measured = measures(documents, text)
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in rules:
-        verdict = verdict.when(_all(rule), F.lit(" and ".join(map(str, rule))))
-    return measured.withColumn("rule", verdict).withColumn("kept", F.col("rule").isNull()).drop(*MEASURES)
+        verdict = verdict.when(_all(rule, _value), F.lit(" and ".join(map(str, rule))))
+    return measured.withColumn("rule", verdict).withColumn("kept", F.col("rule").isNull())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .quality_rules import op4_quality_rules
 from .secrets_scan import op1_secrets
 from .sentencepiece_table import op7_sentencepiece
 from .toxicity import op5_toxicity
-from .url_filters import op9_url_filters
+from .url_filters import mined_url_rules, op9_url_filters
 from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_url_filters,
         op10_media,
+        mined_url_rules,
     )
 }
 
@@ -39,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
+    "mined_url_rules": url_filters.TELLING_SQL,
 }

@@ -3,8 +3,10 @@
 A text's features are the distinct hashes of its words, of its pairs of neighbouring words and of
 its pairs with one word between (skip-grams). Each coordinate has its own learning rate, and L1
 keeps most weights at exactly 0, so that the model is a short list of (feature, weight) that is
-broadcast. Labels are learnt from a bounded sample of labelled rows (`max_rows`, taken by hash of
-the id); every text is scored whole.
+broadcast. Labels are learnt from a bounded sample of labelled rows (at most `max_rows`, taken by
+hash of the id, whole texts of at most `max_bytes` of features in all) in one task, so that the driver
+gets the weights only; every text is scored whole. The learner's parameters were chosen by folds
+within the rows that may be learnt from (`by_folds()`); held-out rows had no part in it.
 
 Defined results: null and empty texts get the bias's score; without usable labels the bias is the
 prior `log(0.1 / 0.9)` and there are no weights; rows with a null label or null id aren't learnt
@@ -14,9 +16,11 @@ column named like an added one is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +32,16 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class FTRL:
-    """Parameters of the learner. positive weighs rows of label 1; max_rows bounds the labelled sample."""
+    """Parameters of the learner. positive weighs rows of label 1; max_rows and max_bytes (4 for each feature of a text) bound the labelled sample."""
 
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 15.0
+    l1: float = 25.0
     l2: float = 1.0
     epochs: int = 6
     positive: float = 8.0
     max_rows: int = 10000
+    max_bytes: int = 100_000_000
     seed: int = 7
 
 
@@ -110,8 +115,8 @@ def fit(rows: list[tuple[np.ndarray, int]], p: FTRL = FTRL()) -> Model:
     return Model(float(prior - zb / ((p.beta + np.sqrt(nb)) / p.alpha)), at[w != 0], w[w != 0])
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", p: FTRL = FTRL()) -> Model:
-    """Fits on at most p.max_rows labelled documents outside the held-out fifth."""
+def sample(documents: DataFrame, labels: DataFrame, label: str, p: FTRL) -> DataFrame:
+    """(_at, doc_id, _y, ids) of at most p.max_rows labelled documents outside the held-out fifth: ids are the distinct features as int32."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).alias("_y"))
@@ -119,16 +124,57 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", p: FTRL
         .orderBy("_at", "doc_id").limit(p.max_rows)
     )
     lists = texts_udf(_feature_lists, "ids binary")
-    rows = (
-        documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-        .select("_at", "doc_id", "_y", lists("text").ids.alias("ids")).collect()
-    )
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
+    return found.select("_at", "doc_id", F.col("_y").cast("int").alias("_y"), lists("text").ids.alias("ids"))
+
+
+def bounded(rows: Iterable[tuple[bytes, int]], most: int) -> list[tuple[np.ndarray, int]]:
+    """Features and labels of the rows in order, once each, while their features have at most so many bytes in all."""
     seen, kept = set(), []
-    for r in sorted(rows, key=lambda r: (r._at, r.doc_id, bytes(r.ids))):
-        if (r.ids, r._y) not in seen:  # copies of a text would outweigh the rest
-            seen.add((r.ids, r._y))
-            kept.append((np.frombuffer(r.ids, np.int32), int(r._y > 0)))
-    return fit(kept, p)
+    for ids, y in rows:
+        if (ids, y) not in seen:  # copies of a text would outweigh the rest
+            most -= len(ids)
+            if most < 0:
+                break
+            seen.add((ids, y))
+            kept.append((np.frombuffer(ids, np.int32), int(y > 0)))
+    return kept
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", p: FTRL = FTRL()) -> Model:
+    """Fits on the bounded sample, in one task; the driver gets the weights that aren't 0."""
+
+    def learnt(batches):
+        rows = ((ids, y) for b in batches for ids, y in zip(b.column("ids").to_pylist(), b.column("_y").to_pylist(), strict=True))
+        model = fit(bounded(rows, p.max_bytes), p)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *model.features], pa.int64()), pa.array([model.bias, *model.weights], pa.float64())], ["feature", "weight"])
+
+    ordered = sample(documents, labels, label, p).repartition(1).sortWithinPartitions("_at", "doc_id", "ids")
+    got = sorted((r.feature, r.weight) for r in ordered.select("ids", "_y").mapInArrow(learnt, "feature long, weight double").collect())
+    bias, weights = (got[0][1], got[1:]) if got else (fit([], p).bias, [])
+    return Model(bias, np.array([f for f, _ in weights], np.int64), np.array([w for _, w in weights], np.float32))
+
+
+def margin(model: Model, ids: np.ndarray) -> float:
+    """The score, before the logistic function, of a text with these distinct features."""
+    at = np.searchsorted(model.features, ids)
+    hit = at < len(model.features)
+    hit[hit] = model.features[at[hit]] == ids[hit]
+    return float(model.weights[at[hit]].sum() + model.bias)
+
+
+def by_folds(rows: list[tuple[np.ndarray, int]], choices: list[FTRL], folds: int = 3) -> list[tuple[float, float, FTRL]]:
+    """(recall, false-positive rate, parameters) of each choice over folds of rows that may be learnt from."""
+    out = []
+    for p in choices:
+        hits = [0, 0]
+        for k in range(folds):
+            model = fit([r for i, r in enumerate(rows) if i % folds != k], p)
+            for ids, y in rows[k::folds]:
+                hits[y] += margin(model, ids) >= 0
+        positive = sum(y for _, y in rows)
+        out.append((hits[1] / max(positive, 1), hits[0] / max(len(rows) - positive, 1), p))
+    return out
 
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
