@@ -2,6 +2,13 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet in the shared folder and read again as the next one's docs.
+
+Defined results: a null or empty text has the bias's score, no near-duplicates, no secrets and no
+tokens, and stays until the mix takes or leaves it; a row with a null doc_id is scored, never a
+near-duplicate's representative, and kept; rows that share a doc_id (repeated rows among them) are
+kept or dropped together by near-dedup and the mix; null lang or source is a branch `(none)`; extra
+columns of documents end with the first stage (COLUMNS go on); empty tables give empty tables; a
+document that the mix takes in two epochs comes twice.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id. Ids go through the operator, texts are read once more to keep the rest."""
     dropped = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
