@@ -19,9 +19,9 @@ def spans(*texts):
 @pytest.mark.parametrize(
     ("lines", "want"),
     [
-        ([["Effi", "cient", " Image"]], "Efficient Image"),
-        ([["first line"], ["second line"]], "first line second line"),
-        ([["super-"], ["resolution"]], "superresolution"),
+        ([["moun", "tain", " River"]], "mountain River"),
+        ([["rain came"], ["and went"]], "rain came and went"),
+        ([["water-"], ["fall"]], "waterfall"),
         ([["a--"], ["b"]], "a-- b"),
         ([["ends-"]], "ends-"),
         ([["a"], [], ["  b\t c "]], "a b c"),
@@ -33,9 +33,9 @@ def test_spans_and_lines_join(spark, lines, want):
 
 
 def test_italic_runs_are_kept(spark):
-    r = page(spark, {"lines": [spans("plain ", ("emph", 2, FONT), " tail")]})[0]
-    assert r.source_text == "plain emph tail"
-    assert [(x.start, x.end, x.i, x.b) for x in r.style.runs] == [(6, 10, True, False)]
+    r = page(spark, {"lines": [spans("a ", ("slow", 2, FONT), " river")]})[0]
+    assert r.source_text == "a slow river"
+    assert [(x.start, x.end, x.i, x.b) for x in r.style.runs] == [(2, 6, True, False)]
 
 
 def test_runs_follow_healed_and_collapsed_text(spark):
@@ -51,7 +51,7 @@ def test_runs_follow_composition(spark):
 
 
 def test_bold_by_font_and_sizes(spark):
-    r = page(spark, {"lines": [spans(("HEADING", 0, "Serif-Bold"))]})[0]
+    r = page(spark, {"lines": [spans(("RIVERS", 0, "Serif-Bold"))]})[0]
     assert r.style.runs[0].b and (r.style.size, r.style.size_max) == (10.0, 10.0) and r.x1 == 100.0
 
 
@@ -67,9 +67,9 @@ def test_overlaps_are_trimmed_within_a_column(spark):
     def trimmed(*rows):
         return {r.block_index: r for r in L.deoverlapped(spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(rows)], BOX)).collect()}
 
-    stacked = trimmed((72, 100, 540, 232), (72, 225, 540, 350))
-    assert (stacked[0].y1, stacked[1].y0, stacked[1].y1) == (224.5, 225.0, 350.0)
-    assert trimmed((72, 100, 290, 400), (310, 110, 540, 400))[0].y1 == 400.0
+    stacked = trimmed((60, 20, 480, 95), (60, 90, 480, 180))
+    assert (stacked[0].y1, stacked[1].y0, stacked[1].y1) == (89.5, 90.0, 180.0)
+    assert trimmed((50, 30, 200, 330), (220, 45, 400, 310))[0].y1 == 330.0
     assert trimmed((0, 100, 50, 101), (0, 100.2, 50, 200))[0].y1 == 101.0
 
 
@@ -80,31 +80,36 @@ def groups(spark, *rows, right=540.0, width=612.0):
 
 
 def test_wrapped_line_merges(spark):
-    got = groups(spark, (2, (79, 132, 539, 157), "1. In life, past decisions", "AAA"), (3, (101, 149, 190, 174), "unquestioned.", "BBB"))
-    assert [(g.text, g.x1, g.indices) for g in got] == [("AAA BBB", 539.0, [2, 3])]
+    got = groups(spark, (4, (60, 300, 538, 324), "Rain had fallen on the valley for", "P"), (5, (66, 318, 150, 342), "three days.", "Q"))
+    assert [(g.text, g.x1, g.indices) for g in got] == [("P Q", 538.0, [4, 5])]
 
 
 @pytest.mark.parametrize(
     ("first", "second", "src"),
     [
-        ((79, 132, 539, 200), (79, 140, 539, 210), "a"),
-        ((258, 100, 355, 125), (79, 132, 539, 157), "Set a Tripwire"),
-        ((79, 132, 300, 157), (79, 149, 539, 174), "short line"),
-        ((79, 132, 539, 157), (79, 149, 539, 174), "It ends."),
-        ((79, 132, 539, 157), (79, 149, 539, 174), "It ends.”"),
-        ((79, 132, 539, 157), (79, 149, 539, 174), ""),
+        ((60, 300, 538, 380), (60, 310, 538, 390), "too far into it"),
+        ((270, 50, 340, 74), (60, 75, 538, 99), "Of Rivers"),
+        ((60, 300, 250, 324), (60, 318, 538, 342), "ends early"),
+        ((60, 300, 538, 324), (60, 318, 538, 342), "The river rose."),
+        ((60, 300, 538, 324), (60, 318, 538, 342), "They left!”"),
+        ((60, 300, 538, 324), (60, 318, 538, 342), ""),
     ],
 )
 def test_others_stay_apart(spark, first, second, src):
-    got = groups(spark, (0, first, src, "A"), (1, second, "b", "B"))
+    got = groups(spark, (0, first, src, "P"), (1, second, "q", "Q"))
     assert len(got) == 2
-    if src == "Set a Tripwire":
+    if src == "Of Rivers":
         assert [g.align for g in got] == ["center", "justify"]
 
 
+def test_many_paragraphs_of_a_page(spark):
+    rows = [(i, (60, 20 * i, 538, 20 * i + 15), "Ends here.", f"t{i}") for i in range(700)]
+    assert [g.text for g in groups(spark, *rows)] == [f"t{i}" for i in range(700)]
+
+
 def test_chain_merges_by_the_groups_own_edge(spark):
-    got = groups(spark, (0, (79, 100, 539, 125), "a", "A"), (1, (79, 117, 300, 142), "b", "B"), (2, (79, 134, 539, 159), "c", "C"))
-    assert [g.text for g in got] == ["A B C"]
+    got = groups(spark, (0, (60, 40, 537, 64), "so", "P"), (1, (60, 58, 280, 82), "it", "Q"), (2, (60, 76, 537, 100), "went", "R"))
+    assert [g.text for g in got] == ["P Q R"]
 
 
 def test_percentiles_take_the_lower_index(spark):
@@ -130,13 +135,49 @@ def test_frames_of_thin_rules_only(spark):
     assert [tuple(g) for g in got] == [(1, 0.0, 0.0, 150.0, 40.0)]
 
 
-def test_flow_gives_up_fidelity_step_by_step(spark):
-    frame = (72.0, 72.0, 540.0, 300.0)
-    g = [{"group_no": i, "x0": 72.0, "x1": 540.0, "y0": 80.0 + 60 * i, "y1": 100.0 + 60 * i, "size": 10.0, "text": "word " * 150, "align": "justify"} for i in range(3)]
-    placed, spill = L.flow(g, frame, [], [], L.monospaced, 1.0, True, 1.30)
-    assert spill and placed and all(a["y1"] <= b["y0"] for a, b in zip(placed, placed[1:], strict=False))
-    placed, spill = L.flow(g, frame, [(72.0, 70.0, 540.0, 150.0)], [], L.monospaced, 1.0, True, 1.30)
-    assert placed[0]["y0"] == 152.0
+def paragraphs(*rows, size=10.0):
+    return [L.Paragraph(i, L.Box(*map(float, box)), size, text, centred) for i, (box, text, centred) in enumerate(rows)]
+
+
+FRAME = L.Box(72.0, 72.0, 540.0, 300.0)
+
+
+def test_flow_gives_up_fidelity_step_by_step():
+    rows = paragraphs(*(((72, 80 + 60 * i, 540, 100 + 60 * i), "word " * 150, False) for i in range(3)))
+    flow = L.Flow(L.Page(FRAME), L.monospaced, 1.0, True, 1.30)
+    for p in rows:
+        flow.put(p, 0.0)
+    assert flow.spill and flow.placed and all(a[1].y1 <= b[1].y0 for a, b in zip(flow.placed, flow.placed[1:], strict=False))
+    _, below = L.set_page(rows[:1], L.Page(L.Box(72.0, 72.0, 540.0, 700.0), figures=(L.Box(72.0, 70.0, 540.0, 150.0),)))
+    assert below.placed[0][1].y0 == 152.0
+
+
+def test_figures_are_passed_one_after_the_other():
+    page = L.Page(L.Box(0.0, 0.0, 400.0, 900.0), figures=(L.Box(0.0, 200.0, 400.0, 300.0), L.Box(0.0, 90.0, 400.0, 195.0), L.Box(500.0, 0.0, 600.0, 900.0)))
+    _, flow = L.set_page(paragraphs(((0, 100, 400, 120), "some words", False)), page)
+    assert flow.placed[0][1].y0 == 302.0  # 197 would run into the next one
+
+
+def test_short_lines_widen_and_containers_hold():
+    long = "word " * 20
+    rung, flow = L.set_page(paragraphs(((72, 80, 150, 92), long, False)), L.Page(FRAME))
+    assert (rung, flow.placed[0][1].x1) == (0, 540.0)  # a stub that its text has outgrown
+    _, held = L.set_page(paragraphs(((72, 80, 150, 192), long, False)), L.Page(FRAME))
+    assert held.placed[0][1].x1 == 150.0  # a column
+    _, boxed = L.set_page(paragraphs(((72, 80, 150, 192), long, False)), L.Page(FRAME, containers=(L.Box(70.0, 70.0, 306.0, 250.0),)))
+    assert boxed.placed[0][1].x1 == 300.0
+    _, centred = L.set_page(paragraphs(((250, 80, 350, 92), "a heading", True)), L.Page(FRAME))
+    assert (centred.placed[0][1].x0, centred.placed[0][1].x1) == (72.0, 540.0)
+
+
+def test_figures_and_containers_of_a_table(spark):
+    data = [(1, 0, 79.0, 100.0, 300.0, 160.0, 12.0, "x.", "text here " * 10), (2, 0, 79.0, 100.0, 300.0, 160.0, 12.0, "x.", "text here " * 10)]
+    df = spark.createDataFrame(data, f"{BOX}, size double, src string, text string")
+    boxes = "page_no long, x0 double, y0 double, x1 double, y1 double"
+    frame = spark.createDataFrame([(i, 72.0, 72.0, 540.0, 700.0) for i in (1, 2)], boxes)
+    got = {r.page_no: r for r in L.laid_out(L.merged_paragraphs(df), frame, spark.createDataFrame([(1, 0.0, 90.0, 400.0, 180.0)], boxes), spark.createDataFrame([(2, 70.0, 70.0, 406.0, 500.0)], boxes)).collect()}
+    assert got[1].y0 == 182.0 and got[1].x1 == 300.0
+    assert got[2].y0 == 100.0 and got[2].x1 == 400.0
 
 
 def test_longest_prefix_that_fits():
@@ -144,7 +185,7 @@ def test_longest_prefix_that_fits():
     head, tail = L.split_to_fit(text, 60.0, 26.0, 10.0, 1.3, L.monospaced)
     assert f"{head} {tail}" == text and L.monospaced(head, 60.0, 10.0, 1.3) <= 26.0
     assert L.monospaced(" ".join(text.split(" ")[: len(head.split(" ")) + 1]), 60.0, 10.0, 1.3) > 26.0
-    assert L.balanced("start <i>middle", "rest</i> end") == ("start <i>middle</i>", "<i>rest</i> end")
+    assert L.retagged("so <b>very", "far</b> away") == ("so <b>very</b>", "<b>far</b> away")
     assert L.split_to_fit("unsplittable" * 9, 60.0, 26.0, 10.0, 1.3, L.monospaced)[0] == ""
 
 

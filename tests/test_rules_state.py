@@ -20,10 +20,10 @@ def kinds(spark, src, tgt, terms=(), names=None):
 @pytest.mark.parametrize(
     ("src", "tgt", "want"),
     [
-        ("He paid 250 dollars in 2013.", "त्याने 250 डॉलर दिले.", {"number_lost"}),
-        ("Plain English text here.", "Plain English text here.", {"untranslated", "no_devanagari"}),
-        ("Andrew Hallam bought a car in 2013.", "Andrew Hallam ने 2013 मध्ये कार घेतली.", set()),
-        ("He paid 250.", "त्याने २५० दिले.", {"devanagari_digits"}),
+        ("It rained 81 days since 1908.", "81 दिवस पाऊस पडला.", {"number_lost"}),
+        ("Rivers rise in the north.", "Rivers rise in the north.", {"untranslated", "no_devanagari"}),
+        ("The ferry reached Lumina in 1908.", "नाव 1908 मध्ये Lumina ला पोचली.", set()),
+        ("It rained 81 days.", "८१ दिवस पाऊस.", {"devanagari_digits"}),
         ("some text", " \n", {"missing_translation"}),
         ("some text", "<i></i>", {"missing_translation"}),
         ("some text", None, {"missing_translation"}),
@@ -43,12 +43,29 @@ def test_findings(spark, src, tgt, want):
 
 
 def test_glossary_and_lexicon(spark):
-    term = [("narrow frame", "संकुचित दृष्टिकोन")]
-    assert kinds(spark, "This is a narrow frame problem.", "ही एक संकुचित चौकट समस्या आहे.", term) == {"glossary_miss"}
+    term = [("flood plain", "पूर मैदान")]
+    assert kinds(spark, "Here the flood plain begins.", "येथे मैदान सुरू होते.", term) == {"glossary_miss"}
     assert kinds(spark, "x went with Aaaa and Bbbb and Cccc", "म", names=["Aaaa"]) == set()
-    df = spark.createDataFrame([(1, "a Narrow Frame.", "म"), (2, "narrow frames", "म")], PAIR)
+    df = spark.createDataFrame([(1, "a Flood Plain.", "म"), (2, "flood plains", "म")], PAIR)
     g = spark.createDataFrame([(*term[0],), ("", "x"), (None, "y")], "english string, target string")
-    assert [(r.doc_id, r.english) for r in rules.glossary_misses(df, g).collect()] == [(1, "narrow frame")]
+    assert [(r.doc_id, r.english) for r in rules.glossary_misses(df, g).collect()] == [(1, "flood plain")]
+    signs = spark.createDataFrame([("—", "–"), ("the plain", "म"), ("no such", "म")], "english string, target string")
+    odd = spark.createDataFrame([(1, "rain — and sun", "म"), (2, "rain — and sun", "म – न"), (3, "of the plain", "न"), (4, "the the the", "न")], PAIR)
+    assert {(r.doc_id, r.english) for r in rules.glossary_misses(odd, signs).collect()} == {(1, "—"), (3, "the plain")}
+
+
+def test_long_glossaries_are_joined(spark, monkeypatch):
+    terms = [("flood plain", "पूर मैदान"), ("rain", "पाऊस"), ("—", "–")]
+    df = spark.createDataFrame([(1, "a flood plain", "म"), (2, "rain here", "पाऊस"), (3, "x — y", "म"), (4, "Rain", "म")], PAIR)
+    inline = sorted(map(tuple, rules.findings(df, terms).collect()))
+    monkeypatch.setattr(rules, "INLINE_TERMS", 2)
+    assert sorted(map(tuple, rules.findings(df, terms).collect())) == inline
+    assert {k for k, _, kind in inline if kind == "glossary_miss"} == {1, 3, 4}
+
+
+def test_substring_flags(spark):
+    term = [("flood plain", "पूर मैदान")]
+    df = spark.createDataFrame([(1, "a Flood Plain.", "म"), (2, "flood plains", "म")], PAIR)
     assert {r.doc_id for r in rules.substring_misses(df, term).collect()} == {1, 2}
 
 
@@ -93,6 +110,16 @@ def test_outline_edges(spark):
     assert got == {1: None, 3: "B", 5: "B", 6: "C", 9: "C"}
 
 
+def test_outlines_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(structure, "PAGES", 7)
+    starts = [4, 5, 20, 21, 22, 70]
+    marks = spark.createDataFrame([(i, f"T{p}", p) for i, p in enumerate(starts)], "idx int, title string, page int")
+    pages = spark.createDataFrame([(p, f"x{p}") for p in [*range(1, 90, 2), 500, 500]], "page_no int, extra string")
+    got = [(r.page_no, r.extra, r.chapter) for r in structure.page_chapters(pages, structure.outline_ranges(marks)).collect()]
+    title = lambda p: f"T{max(s for s in starts if s <= p)}" if p >= 4 else None
+    assert set(got) == {(p, f"x{p}", title(p)) for p in [*range(1, 90, 2), 500]} and len(got) == 47
+
+
 @pytest.mark.parametrize("away", [1, 2])
 def test_lookaround_edges(spark, away):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "page_no int, text string")
@@ -106,7 +133,12 @@ def test_selectors_chunks_and_samples(spark):
     assert {r.page_no for r in structure.select_pages(spark, "1,5, 9-12,10").collect()} == {1, 5, 9, 10, 11, 12}
     assert structure.select_pages(spark, "").count() == 0
     t = spark.createDataFrame([("a", "x" * 25), ("b", "y" * 10), ("c", "")], "chapter string, text string")
-    assert sorted((r.chapter, len(r.text)) for r in structure.chunked(t, 10).collect()) == [("a (1)", 10), ("a (2)", 10), ("a (3)", 5), ("b", 10)]
+    lines = t.select("chapter", F.lit(1).alias("page_no"), F.lit(0).alias("block_index"), "text")
+    assert sorted((r.chapter, len(r.text)) for r in structure.chunks(lines, F.col("chapter"), 10).collect()) == [("a (1)", 10), ("a (2)", 10), ("a (3)", 5), ("b", 10)]
+    rows = [("c", p, i, f"{p}-{i} " + "w" * (p * 7 % 13) * i) for p in (3, 1, 1500, 2, 999, 1000) for i in range(4)]
+    many = spark.createDataFrame(rows, "chapter string, page_no long, block_index int, text string")
+    whole = structure.chapter_text(many, F.col("chapter")).first().text
+    assert [r.text for r in structure.chunks(many, F.col("chapter"), 17).orderBy("chunk").collect()] == [whole[k : k + 17] for k in range(0, len(whole), 17)]
     for n, k in ((3, 7), (7, 7), (23, 7), (14, 7)):
         rows = list(range(n))
         want = rows[:: max(1, n // k)][:k]
@@ -119,38 +151,80 @@ def test_page_offsets_count_earlier_pages(spark):
     assert {r.page_no: r.out_idx for r in structure.page_offsets(df, "book").collect()} == {1: 0, 2: 1, 3: 3, 4: 7}
 
 
-def test_calls_keep_good_pages(spark):
-    class Flaky(jobs.Echo):
+def test_calls_are_made_once_and_good_pages_kept(spark, tmp_path):
+    class Counting(jobs.Echo):
+        """Counts its calls in a file; some pages fail, or fail the first time."""
+
+        def __init__(self, path, later=False):
+            super().__init__()
+            self.path, self.later = str(path), later
+
         def call(self, request):
-            if "boom" in request:
+            with open(self.path, "a") as f:
+                f.write("x")
+            if "boom" in request and not self.later:
                 raise ValueError("boom")
+            if "cut" in request and not self.later:
+                return jobs.Answer("{", complete=False)
             return super().call(request)
 
-    blocks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "boom")], "page_no long, block_index int, text string")
+    blocks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "boom"), (3, 0, "cut")], "page_no long, block_index int, text string")
     work = jobs.page_jobs(blocks, spark.createDataFrame([(1, "ch")], "page_no long, chapter string"))
-    assert {r.page_no: r.chapter for r in work.collect()} == {1: "ch", 2: jobs.FRONT}
-    got = jobs.call_all(work, Flaky()).cache()
-    assert {(r.page_no, r.ok) for r in jobs.validated(jobs.parsed(got)).collect()} == {(1, True)}
-    with pytest.raises(jobs.ProviderError, match="p2: ValueError"):
+    assert {r.page_no: r.chapter for r in work.collect()} == {1: "ch", 2: jobs.FRONT, 3: jobs.FRONT}
+    calls, path = tmp_path / "calls", f"{tmp_path}/answers"
+    got = jobs.call_all(work, Counting(calls), path)
+    for _ in range(2):
+        assert {(r.page_no, r.ok) for r in jobs.validated(jobs.parsed(got)).collect()} == {(1, True)}
+    with pytest.raises(jobs.ProviderError, match="p2: ValueError: boom; p3: ProviderError: the answer was cut off"):
         jobs.raise_failures(got)
+    assert calls.read_text() == "x" * 3
+    again = jobs.call_all(work, Counting(calls, later=True), path)
+    jobs.raise_failures(again)
+    assert {(r.page_no, r.ok) for r in jobs.validated(jobs.parsed(again)).collect()} == {(1, True), (2, True), (3, True)}
+    assert calls.read_text() == "x" * 5  # only the two that failed
+
+
+def test_answers_must_be_whole():
+    assert jobs.content("x") == jobs.content(jobs.Answer("x")) == "x"
+    for bad in (jobs.Answer("x", complete=False), jobs.Answer(None), " \n", None):
+        with pytest.raises(jobs.ProviderError):
+            jobs.content(bad)
 
 
-def test_retries():
-    def failing(errors):
+def test_policy_of_repeated_calls():
+    def after(*errors):
         left = list(errors)
 
-        def call():
+        def once():
             if left:
                 raise left.pop(0)
             return "ok"
 
-        return call
+        return once
 
-    waits = []
-    assert jobs.with_retry(failing([jobs.Transient(), jobs.Transient()]), sleep=waits.append) == "ok" and waits == [3.0, 6.0]
-    for errors, kind in (([jobs.TimedOut(), jobs.TimedOut()], jobs.ProviderError), ([jobs.Transient()] * 4, jobs.ProviderError), ([ValueError()], ValueError)):
+    pauses = []
+    assert jobs.Policy().call(after(jobs.Transient(), jobs.TimedOut(), jobs.Transient()), pauses.append) == "ok"
+    assert pauses == [3.0, 6.0, 12.0]
+    for errors, kind in (([jobs.TimedOut()] * 2, jobs.ProviderError), ([jobs.Transient()] * 4, jobs.ProviderError), ([KeyError()], KeyError)):
         with pytest.raises(kind):
-            jobs.with_retry(failing(errors), sleep=lambda _: None)
+            jobs.Policy().call(after(*errors), lambda _: None)
+
+
+def test_first_new_row_of_a_key_is_added(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "id int, name string, at int")
+    new = spark.createDataFrame([(1, "b", 1), (2, "late", 5), (2, "first", 2), (3, None, 1), (3, None, 1)], old.schema)
+    assert {tuple(r) for r in state.insert_missing(old, new, ["id"], "at").collect()} == {(1, "a", 0), (2, "first", 2), (3, None, 1)}
+    assert state.insert_missing(old, new, ["id"]).count() == 3
+
+
+def test_page_fields(spark):
+    pages = spark.createDataFrame([(1, "new", None), (2, "new", "s")], "page_no long, status string, summary string")
+    assert {tuple(r) for r in state.set_page(pages, spark.createDataFrame([(1, "done")], "page_no long, value string"), "status").collect()} == {(1, "done", None), (2, "new", "s")}
+    b = spark.createDataFrame([(1, "f"), (1, None), (2, "f")], "page_no long, final string")
+    assert [r.page_no for r in state.all_final(b).collect()] == [2]
+    assert checks.any_row(b) and not checks.any_row(b.where("page_no = 9"))
+    f = spark.createDataFrame([(7, "x"), (3, "y")], "page_no long, detail string")
+    assert tuple(checks.first_failure(f).first()) == (3, "y")
 
 
 def test_validation(spark):
@@ -196,6 +270,14 @@ def test_corpus_operators(spark):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)] + [(9, None)], "vec_id long, embedding array<float>")
     got = corpus.nearest(v.where("vec_id = 2"), v, 3).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 3, 0]
+    assert corpus.nearest(v.limit(0), v).count() == 0
+
+
+def test_queries_in_several_passes(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i * i % 37), float(i % 5)]) for i in range(50)], "vec_id long, embedding array<float>")
+    once = {tuple(r) for r in corpus.nearest(v, v, 4, block=7).collect()}
+    monkeypatch.setattr(corpus, "QUERY_BYTES", 400)
+    assert {tuple(r) for r in corpus.nearest(v, v, 4).collect()} == once and len(once) == 200
 
 
 def test_checks(spark):
@@ -228,9 +310,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{not json\n")
     with pytest.raises(Exception, match=r"(?i)malformed"):
         files.read_json(spark, f"{tmp_path}/bad.json", "k long").collect()
-    for n in (1, 2):
-        files.swap_in(spark.range(n), f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    got = files.read_in_batches(spark, f"{tmp_path}/j", "k long, v string", 2, lambda rows: rows.assign(n=len(rows))[["k", "n"]], "k long, n long").collect()
+    assert sorted(r.n for r in got) in ([1, 1], [2, 2])
+    files.csv(df, f"{tmp_path}/c")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/c").first().v == "a"
+    files.append_log(state.log_entries(spark, [("extract", "m", "info")]), f"{tmp_path}/log")
+    files.append_log(state.log_entries(spark, [("verify", "n", "warn")]), f"{tmp_path}/log")
+    assert {r.stage for r in spark.read.json(f"{tmp_path}/log").collect()} == {"extract", "verify"}
     (tmp_path / "x.bin").write_bytes(b"abc")
     got = files.parsed_files(spark, f"{tmp_path}/x.bin", lambda p, b: iter([{"n": len(b)}]), "n long").collect()
     assert got[0].n == 3
@@ -240,6 +326,27 @@ def test_files(spark, tmp_path):
     assert files.distinct_streams(streams).count() == 1
 
 
+def test_swaps_survive_a_crash_at_each_step(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert files.current(spark, path) is None
+    for n in (1, 2):
+        files.swap_in(spark.range(n), path)
+        assert files.current(spark, path).count() == n
+    # a crash while the version is written, after it, and between the pointer and the removal of the old version
+    (tmp_path / "t" / "v0000000003").mkdir()
+    assert files.current(spark, path).count() == 2
+    (tmp_path / "t" / "_v0000000003.new").touch()
+    assert files.current(spark, path).count() == 2
+    files.swap_in(spark.range(3), path)
+    assert files.current(spark, path).count() == 3
+    spark.range(4).write.parquet(f"{path}/v0000000004")
+    (tmp_path / "t" / "_v0000000004.current").touch()
+    assert files.current(spark, path).count() == 4
+    files.swap_in(spark.range(5), path)
+    assert files.current(spark, path).count() == 5
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 1
+
+
 def test_stream_upserts(spark, tmp_path):
     schema = "page_no long, block_index int, id string, text string, seq long"
     src, out, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "mark"))
@@ -247,7 +354,7 @@ def test_stream_upserts(spark, tmp_path):
     for batch in ([(1, 0, "a", "x", 1), (1, 0, "b", "y", 2)], [(1, 0, "b", "y", 3), (2, 0, "c", "z", 4)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         state_stream.upsert_stream(spark.readStream.schema(schema).parquet(src), out, mark, empty).awaitTermination(60)
-    assert {(r.page_no, r.id, r.status) for r in spark.read.parquet(out).collect()} == {(1, "b", "pending"), (2, "c", "pending")}
+    assert {(r.page_no, r.id, r.status) for r in files.current(spark, out).collect()} == {(1, "b", "pending"), (2, "c", "pending")}
     assert state_stream.latest_attempts(spark.createDataFrame([(dt.datetime(2024, 1, 1), 1, "k", 2, 0), (dt.datetime(2024, 1, 1), 1, "k", 1, 1)], "ts timestamp, page_no long, kind string, attempt int, passed int")).first().attempt == 2
 
 

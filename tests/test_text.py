@@ -12,26 +12,26 @@ def one(spark, value, fn, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(fn(F.col("v")).alias("x")).first().x
 
 
-@pytest.mark.parametrize(("raw", "want"), [("oﬃce", "office"), ("“quoted”", '"quoted"'), ("it’s", "it's"), (" a  \tb ", "a b"), ("ﬅﬆ", "stst"), ("é", "é"), ("", ""), (None, None), ("\na\n", "a")])
+@pytest.mark.parametrize(("raw", "want"), [("scaﬀold", "scaffold"), ("‚low‛ and „high”", "'low' and \"high\""), ("x  \t y ", "x y"), ("ﬆﬅ", "stst"), ("o\u0308l", "öl"), ("one\u2028two\u2029three", "one two three"), ("", ""), (None, None), ("\na\n", "a")])
 def test_normalise(spark, raw, want):
     assert one(spark, raw, T.normalise) == want
 
 
 def test_numbers(spark):
-    assert one(spark, "He paid $1,299.50 in 2013", T.numbers_in) == ["1,299.50", "2013"]
-    assert one(spark, "12,3456 and 5 000 in 1975, the", T.numbers_in) == ["12,345", "6", "5", "000", "1975"]
+    assert one(spark, "rain of 4,812.75 mm since 1908", T.numbers_in) == ["4,812.75", "1908"]
+    assert one(spark, "98,7654 or 3\u00a0200 by 1866, so", T.numbers_in) == ["98,765", "4", "3", "200", "1866"]
     assert one(spark, "२५०", T.numbers_in) == ["250"] and one(spark, "२५०", T.raw_numbers_in) == ["२५०"]
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("He met Michael Phillips there. Following that, she left.", ["Michael", "Phillips"]),
-        ("Once upon Andrew Hallam WAS PRECISELY here", ["Andrew", "Hallam"]),
-        ("The Costco store, a Canadian and American one.", ["Costco"]),
-        ("see Vivian, Duncan and Sebastian.", ["Duncan", "Sebastian", "Vivian"]),
+        ("Rivers near Tarnow flooded. Below them, Orla waited.", ["Orla", "Tarnow"]),
+        ("Long ago Orla Brennick LOUDLY sang", ["Brennick", "Orla"]),
+        ("A ferry, the Dutch one, reached Lumina.", ["Lumina"]),
+        ("with Irisha, Dutcher and Italo.", ["Dutcher", "Irisha", "Italo"]),
         ("", []),
-        ("I saw O'Brien-Smith & AT&T it.", ["O'Brien-Smith"]),
+        ("near D'Arcy-Wells & R&D it.", ["D'Arcy-Wells"]),
     ],
 )
 def test_proper_nouns(spark, text, want):
@@ -39,7 +39,7 @@ def test_proper_nouns(spark, text, want):
 
 
 def test_titles_and_prose(spark):
-    for text, title, prose in (("Women Who Think Too Much", True, False), ("warning bells.", False, True), ("One", False, False), ("p. cm. 1.", False, False), ("Made to Stick", True, False)):
+    for text, title, prose in (("Rivers That Run Uphill", True, False), ("heavy rain.", False, True), ("Two", False, False), ("v. 2. no. 7", False, False), ("Born of Salt", True, False)):
         assert one(spark, text, T.looks_like_title) == title
         assert one(spark, text, T.is_prose) == prose
 
@@ -53,13 +53,13 @@ def test_word_patterns_equal_boundaries(spark, text):
 
 
 def test_terms_keep_word_bounds(spark):
-    assert one(spark, "A Narrow Frame problem", lambda c: T.has_term(c, "narrow frame"))
-    assert not one(spark, "narrow frames", lambda c: T.has_term(c, "narrow frame"))
+    assert one(spark, "The Flood Plain grew", lambda c: T.has_term(c, "flood plain"))
+    assert not one(spark, "flood plains", lambda c: T.has_term(c, "flood plain"))
     assert one(spark, "C++ (a.b)", lambda c: T.has_term(c, "a.b")) and not one(spark, "axb", lambda c: T.has_term(c, "a.b"))
 
 
 def test_escape(spark):
-    assert one(spark, "a < b & c <i>emph</i> &lt;b&gt;", T.to_html) == "<p>a &lt; b &amp; c <i>emph</i> &amp;lt;b&amp;gt;</p>"
+    assert one(spark, "x > 1 & <b>y</b> <u> &lt;i&gt;", T.to_html) == "<p>x &gt; 1 &amp; <b>y</b> &lt;u&gt; &amp;lt;i&amp;gt;</p>"
 
 
 def test_short_form_json_and_code(spark):
@@ -78,24 +78,24 @@ def test_markup_round_trip(spark):
     def marked(text, runs):
         return spark.createDataFrame([(text, runs)], f"t string, r {M.RUNS}").select(M.apply_markup(F.col("t"), F.col("r")).alias("x")).first().x
 
-    assert marked("plain emph tail", [(6, 10, True, False)]) == "plain <i>emph</i> tail"
-    assert marked("word rest", [(0, 4, True, True)]) == "<i><b>word</b></i> rest"
+    assert marked("a slow river", [(2, 6, True, False)]) == "a <i>slow</i> river"
+    assert marked("rain fell", [(5, 9, True, True)]) == "rain <i><b>fell</b></i>"
     assert marked("abcdef", [(4, 99, False, True), (-3, 2, True, False), (1, 3, True, True), (3, 3, True, False)]) == "<i>ab</i>cd<b>ef</b>"
     assert marked("abc", []) == "abc" and marked("abc", None) == "abc"
-    assert one(spark, "plain <i>emph</i> <b>t</b>", T.strip_markup) == "plain emph t"
+    assert one(spark, "a <i>slow</i> <b>r</b>", T.strip_markup) == "a slow r"
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("<b>त</b>ुमच्यासमोरचे पर्याय", "<b>तु</b>मच्यासमोरचे पर्याय"), ("<b>क</b>्षत्रिय", "<b>क्ष</b>त्रिय"), ("<i>स्पष्ट</i> मजकूर", "<i>स्पष्ट</i> मजकूर"), ("plain", "plain"), ("a <b>bold</b> c", "a <b>bold</b> c")],
+    [("<b>प</b>ूर आला", "<b>पू</b>र आला"), ("<i>स</i>्त्री", "<i>स्त्री</i>"), ("<b>स</b>्<i>त", "<b>स्</b><i>त"), ("<i>नदी</i> खोल", "<i>नदी</i> खोल"), ("untagged", "untagged"), ("a <b>deep</b> c", "a <b>deep</b> c")],
 )
 def test_tags_move_behind_clusters(spark, text, want):
     assert one(spark, text, M.snap_to_clusters) == want
 
 
 def test_cut_emphasis_is_closed_and_reopened(spark):
-    df = spark.createDataFrame([("start <i>middle", "rest</i> end")], "h string, t string")
-    assert tuple(df.select(M.close_open_tags(F.col("h"), F.col("t")).alias("c")).first().c) == ("start <i>middle</i>", "<i>rest</i> end")
+    df = spark.createDataFrame([("so <b>very", "far</b> away")], "h string, t string")
+    assert tuple(df.select(M.close_open_tags(F.col("h"), F.col("t")).alias("c")).first().c) == ("so <b>very</b>", "<b>far</b> away")
 
 
 def test_block_ids_follow_content(spark):
@@ -104,8 +104,8 @@ def test_block_ids_follow_content(spark):
     def bid(p, i, t):
         return spark.createDataFrame([(p, i, t)], "p int, i int, t string").select(T.block_id(F.col("p"), F.col("i"), F.col("t")).alias("x")).first().x
 
-    assert bid(1, 0, "hello") == hashlib.sha256(b"1|0|hello").hexdigest()[:32]
-    assert len({bid(1, 0, "hello"), bid(1, 0, "hello!"), bid(2, 0, "hello")}) == 3
+    assert bid(7, 3, "rain") == hashlib.sha256(b"7|3|rain").hexdigest()[:32]
+    assert len({bid(7, 3, "rain"), bid(7, 3, "rains"), bid(7, 4, "rain"), bid(8, 3, "rain")}) == 4
 
 
 def test_runs_of_one_style_merge(spark):

@@ -42,8 +42,8 @@ def merge_runs(runs: Column) -> Column:
 
 
 def snap_to_clusters(text: Column) -> Column:
-    """Tags moved behind the marks and conjuncts that belong to the letter before them."""
-    tail = "((?:[\\p{Mn}\\p{Mc}]|(?<=्).)+)"
+    """Tags moved behind the marks and conjuncts that belong to the letter before them; a tag that follows a virama stays whole."""
+    tail = "((?:[\\p{Mn}\\p{Mc}]|(?<=्)[^<])+)"
     return F.regexp_replace(text, f"(?s)(</?[ib]>)(?:{tail})", "$2$1")
 
 

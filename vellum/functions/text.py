@@ -16,7 +16,8 @@ from pyspark.sql.types import StringType
 # What typographic characters become.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 NO_BREAK = "\u00a0"
-QUOTES = ("‘’‚‛“”„" + NO_BREAK, "''''\"\"\" ")
+LINE_ENDS = "\u2028\u2029"
+QUOTES = ("‘’‚‛“”„" + NO_BREAK + LINE_ENDS, "''''\"\"\"   ")
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
 # Capitalised words that aren't names.
@@ -44,7 +45,7 @@ def strip(text: Column) -> Column:
 
 
 def typographic(text: Column) -> Column:
-    """Ligatures expanded, typographic quotes and no-break spaces made plain."""
+    """Ligatures expanded, typographic quotes, no-break spaces and Unicode line ends made plain."""
     for a, b in LIGATURES.items():
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.translate(text, *QUOTES)

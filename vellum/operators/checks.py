@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import rules
+from . import rules, structure
 
 TOLERANCE = 2
 
@@ -53,17 +53,36 @@ def font_faces(fonts: DataFrame) -> DataFrame:
     return fonts.agg(F.coalesce(F.bool_or(F.contains("font", F.lit("Devanagari"))), F.lit(False)).alias("passed"), F.array_join(F.array_sort(F.collect_set("font")), ",").alias("fonts"))
 
 
-def text_layer(samples: DataFrame) -> DataFrame:
+def glyph_audit(glyphs: DataFrame, k: int = 40, worst: int = 3) -> DataFrame:
+    """One row over every n-th of the pages (page_no, expected, got), k at most: totals, how many are short, the worst of them as page:deficit, and the pages looked at."""
+    sample = structure.every_kth(glyphs.withColumn("_all", F.lit(0)), "page_no", k, "_all").drop("_all")
+    short = F.col("got") < F.col("expected") - TOLERANCE
+    deficits = F.array_sort(F.collect_list(F.when(short, F.struct((F.col("got") - F.col("expected")).alias("d"), "page_no"))))  # k at most
+    top = F.transform(F.slice(deficits, 1, worst), lambda x: F.concat(x.page_no.cast("string"), F.lit(":"), (-x.d).cast("string")))
+    return sample.agg(F.sum("expected").alias("expected"), F.sum("got").alias("got"), F.count_if(short).alias("n_short"), F.array_join(top, ",").alias("worst"), F.count("*").alias("pages"))
+
+
+def first_failure(failures: DataFrame, *group: str) -> DataFrame:
+    """The earliest failing page (page_no, detail)."""
+    return failures.groupBy(*group).agg(F.min(F.struct("page_no", "detail")).alias("f")).select(*group, "f.*")
+
+
+def any_row(rows: DataFrame) -> bool:
+    """Whether there is a row at all; stops at the first."""
+    return not rows.isEmpty()
+
+
+def text_layer(samples: DataFrame, *group: str) -> DataFrame:
     """Devanagari somewhere and no replacement characters anywhere. samples: text."""
-    return samples.agg(
+    return samples.groupBy(*group).agg(
         F.coalesce(F.bool_or(T.has_devanagari(F.col("text"))), F.lit(False)).alias("devanagari"),
         F.coalesce(F.bool_or(F.col("text").rlike("[�□]")), F.lit(False)).alias("tofu"), F.sum(F.length("text")).alias("chars"),
     ).withColumn("passed", F.col("devanagari") & ~F.col("tofu"))
 
 
-def outline_errors(outline: DataFrame, pages: Column) -> DataFrame:
+def outline_errors(outline: DataFrame, pages: Column, *group: str) -> DataFrame:
     """Entries outside the document, entries in Devanagari, and the verdict."""
-    got = outline.agg(F.count("*").alias("entries"), F.count_if(~F.col("page").between(F.lit(1), pages)).alias("outside"), F.count_if(T.has_devanagari(F.col("title"))).alias("translated"))
+    got = outline.groupBy(*group).agg(F.count("*").alias("entries"), F.count_if(~F.col("page").between(F.lit(1), pages)).alias("outside"), F.count_if(T.has_devanagari(F.col("title"))).alias("translated"))
     return got.withColumn("passed", (F.col("entries") == 0) | ((F.col("outside") == 0) & (F.col("translated") > 0)))
 
 

@@ -19,9 +19,10 @@ def unified(parts: list[tuple[DataFrame, Column, Column, str, str]]) -> DataFram
 
 
 def dictionary_lines(lines: DataFrame, text: str = "text") -> DataFrame:
-    """(english, target) of lines with two columns: Latin words, two or more spaces, the rest. One-letter entries go."""
-    pattern = r"^([A-Za-z0-9\s\(\)\-\.,]+?)\s{2,}(.+)$"
-    got = lines.withColumn("english", T.strip(F.regexp_extract(text, pattern, 1))).withColumn("target", T.strip(F.regexp_extract(text, pattern, 2)))
+    """(english, target) of lines with two columns: Latin words, two or more blanks, the rest. One-letter entries go."""
+    latin, gap = r"[A-Za-z0-9(),.\x20\x09-\x0D-]", r"[\x20\x09-\x0D]"
+    columns = rf"\A({latin}+?){gap}{{2,}}([^\n\r]+)\z"
+    got = lines.withColumn("english", T.strip(F.regexp_extract(text, columns, 1))).withColumn("target", T.strip(F.regexp_extract(text, columns, 2)))
     return got.where("target <> '' and length(english) > 1")
 
 
@@ -33,41 +34,54 @@ def bypassed(paragraphs: DataFrame, text: str = "text", kind: str = "type") -> D
     return paragraphs.where(F.coalesce(fixed, F.lit(False)) | code).withColumn(kind, relabelled)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, block: int = 4096, most: int = 100_000) -> DataFrame:
+#: Bytes of query vectors that are broadcast in one pass over the vectors.
+QUERY_BYTES = 64 << 20
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id) of the k nearest vectors by squared distance, ties by id. Both: vec_id, embedding.
 
-    Exact: query blocks stay on the driver's side of a broadcast (at most `most` queries a pass),
-    every task keeps the k best of its own vectors for each query, and those few meet by query.
+    Exact. Queries are dealt by hash to as many passes as keep each below QUERY_BYTES; in a pass every
+    task keeps the k best of its own vectors for each query, and those few meet by query.
     """
     import numpy as np
 
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries: pass them in several calls")
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    passes = max(1, -(-size["n"] * (8 * (size["d"] or 0) + 8) // (QUERY_BYTES // 2)))
     spark = vectors.sparkSession
     out = "query_id long, distance double, vec_id long"
-    if not rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long")
-    sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)))
-
-    def best(batches):
-        ids, q = sent.value
-        held_d, held_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for pdf in batches:
-            pdf = pdf[pdf.embedding.notna()]
-            if not len(pdf):
-                continue
-            v, names = np.stack(pdf.embedding.to_numpy()).astype(float), pdf.vec_id.to_numpy()
-            for a in range(0, len(v), block):
-                d = np.stack([np.round(((x - v[a : a + block]) ** 2).sum(1), 9) for x in q])
-                d[ids[:, None] == names[None, a : a + block]] = np.inf
-                held_d, held_i = np.hstack([held_d, d]), np.hstack([held_i, np.broadcast_to(names[a : a + block], d.shape)])
-                order = np.lexsort((held_i, held_d), axis=1)[:, :k]
-                held_d, held_i = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_i, order, 1)
-        keep = np.isfinite(held_d)
-        yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "distance": held_d[keep], "vec_id": held_i[keep]})
-
-    near = vectors.select("vec_id", "embedding").mapInPandas(best, out)
+    near = spark.createDataFrame([], out)
+    for p in range(passes if size["n"] else 0):
+        rows = queries.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p)).select("vec_id", "embedding").collect()  # some QUERY_BYTES / 2
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)))
+
+        def best(batches, sent=sent):
+            ids, q = sent.value
+            held_d, held_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+            for pdf in batches:
+                pdf = pdf[pdf.embedding.notna()]
+                for a in range(0, len(pdf), block):
+                    v, names = np.stack(pdf.embedding.iloc[a : a + block].to_numpy()).astype(float), pdf.vec_id.to_numpy()[a : a + block]
+                    for b in range(0, len(ids), block):
+                        rows_ = slice(b, b + block)
+                        d = np.zeros((len(ids[rows_]), len(v)))
+                        for c in range(v.shape[1]):  # by coordinate: sums of squares in a fixed order
+                            d += np.subtract.outer(q[rows_, c], v[:, c]) ** 2
+                        d = np.round(d, 9)
+                        d[ids[rows_, None] == names[None]] = np.inf
+                        if b == 0:
+                            new_d, new_i = [], []
+                        both_d, both_i = np.hstack([held_d[rows_], d]), np.hstack([held_i[rows_], np.broadcast_to(names, d.shape)])
+                        order = np.lexsort((both_i, both_d), axis=1)[:, :k]
+                        new_d.append(np.take_along_axis(both_d, order, 1))
+                        new_i.append(np.take_along_axis(both_i, order, 1))
+                    held_d, held_i = np.vstack(new_d), np.vstack(new_i)
+            keep = np.isfinite(held_d)
+            yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "distance": held_d[keep], "vec_id": held_i[keep]})
+
+        near = near.unionByName(vectors.select("vec_id", "embedding").mapInPandas(best, out))
     return near.selectExpr("query_id", "vec_id", "row_number() over (partition by query_id order by distance, vec_id) as rank").where(F.col("rank") <= k)
 
 

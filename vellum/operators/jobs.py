@@ -1,8 +1,9 @@
 """Jobs for an external model: payloads, calls behind an interface, validation, retries.
 
-A provider is any object with call(request) -> response text. Calls run in tasks, `concurrency`
-at a time by partition count; a failed page becomes an error row, the good pages are kept, and
-only then raise_failures() stops the stage.
+A provider is any object with call(request) -> answer: a text, or an Answer that says how it ended.
+Calls run in tasks, `concurrency` at a time by partition count. Answers are written once, as they
+come, and everything after reads them; a failed page is an error row beside the good ones, and
+raise_failures() stops the stage when they are safe. A second run calls for failed pages only.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import exists
+
 FRONT = "(front matter)"
 ANSWER = "struct<blocks:array<struct<id:int,marathi:string,note:string>>>"
 SUMMARY_MIN, SUMMARY_MAX = 400, 40_000
@@ -34,7 +38,7 @@ class TimedOut(Transient):
 
 
 class Provider(Protocol):
-    def call(self, request: str) -> str: ...
+    def call(self, request: str) -> str | Answer: ...
 
 
 class Echo:
@@ -48,20 +52,45 @@ class Echo:
         return json.dumps({"blocks": [{"id": b["id"], "marathi": self.mark + b["text"], "note": ""} for b in blocks]}, ensure_ascii=False)
 
 
-def with_retry(fn: Callable[[], str], attempts: int = 4, base: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """Repeats transient failures with doubling delays; two timeouts, any other failure or the last attempt end it."""
-    last: Exception | None = None
-    timeouts = 0
-    for k in range(attempts):
-        try:
-            return fn()
-        except Transient as e:
-            last = e
-            timeouts += isinstance(e, TimedOut)
-            if timeouts >= 2:
-                raise ProviderError("timed out twice") from e
-        sleep(base * 2**k)
-    raise ProviderError(f"failed after {attempts} attempts: {last}") from last
+@dataclass(frozen=True)
+class Answer:
+    """What a model said, and whether it came to an end by itself."""
+
+    text: str | None
+    complete: bool = True
+
+
+def content(answer: str | Answer | None) -> str:
+    """The text of a whole, non-blank answer; others end the call for good."""
+    got = answer if isinstance(answer, Answer) else Answer(answer)
+    if not got.complete:
+        raise ProviderError("the answer was cut off")
+    if not (got.text or "").strip():
+        raise ProviderError("the answer is empty")
+    return got.text
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Which failures are worth another call: transient ones, `attempts` calls in all, `slow` timeouts among them; pauses double."""
+
+    attempts: int = 4
+    pause: float = 3.0
+    slow: int = 2
+
+    def again(self, failures: list[Transient]) -> bool:
+        return len(failures) < self.attempts and sum(isinstance(f, TimedOut) for f in failures) < self.slow
+
+    def call(self, once: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
+        failures: list[Transient] = []
+        while True:
+            try:
+                return once()
+            except Transient as f:
+                failures.append(f)
+            if not self.again(failures):
+                raise ProviderError(f"gave up after {len(failures)} calls: {failures[-1]!r}") from failures[-1]
+            sleep(self.pause * 2 ** (len(failures) - 1))
 
 
 def page_jobs(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -72,20 +101,32 @@ def page_jobs(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     return got.select("page_no", F.coalesce("chapter", F.lit(FRONT)).alias("chapter"), F.transform("blocks", lambda b: b.id).alias("ids"), F.to_json(F.struct("blocks")).alias("request"))
 
 
-def call_all(jobs: DataFrame, provider: Provider, concurrency: int = 6, attempts: int = 4) -> DataFrame:
-    """(page_no, ids, response, error): one of response and error is null."""
+RESULT = "page_no long, ids array<int>, response string, error string"
+
+
+def call_all(jobs: DataFrame, provider: Provider, path: str, concurrency: int = 6, policy: Policy = Policy()) -> DataFrame:
+    """(page_no, ids, response, error) of every page, read from `path`, where the answers are kept; one of response and error is null.
+
+    Pages that have an answer there aren't called for again. A repeated action reads, and calls nothing.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for r in pdf.itertuples(index=False):
                 try:
-                    out.append((r.page_no, list(r.ids), with_retry(lambda r=r: provider.call(r.request), attempts), None))
+                    out = (r.page_no, list(r.ids), policy.call(lambda r=r: content(provider.call(r.request))), None)
                 except Exception as e:  # noqa: BLE001  a page's failure is a row
-                    out.append((r.page_no, list(r.ids), None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["page_no", "ids", "response", "error"])
-
-    return jobs.select("page_no", "ids", "request").repartition(concurrency, "page_no").mapInPandas(run, "page_no long, ids array<int>, response string, error string")
+                    out = (r.page_no, list(r.ids), None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([out], columns=["page_no", "ids", "response", "error"])
+
+    spark = jobs.sparkSession
+    todo = jobs.select("page_no", "ids", "request")
+    if exists(spark, path):
+        todo = todo.join(spark.read.schema(RESULT).parquet(path).where("error is null").select("page_no"), "page_no", "left_anti")
+    todo.repartition(concurrency, "page_no").mapInPandas(run, RESULT).write.mode("append").parquet(path)
+    kept = spark.read.schema(RESULT).parquet(path)
+    best = kept.groupBy("page_no").agg(F.max_by(F.struct("ids", "response", "error"), F.col("error").isNull().cast("int")).alias("r"))
+    return best.select("page_no", "r.*")
 
 
 def validated(responses: DataFrame) -> DataFrame:

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 REGISTER = {
-    "conversational": "Write conversational, accessible, modern language, warm and direct, without learned or official vocabulary.",
-    "literary": "Write elevated literary language with refined constructions.",
-    "academic": "Write precise academic language with consistent technical terms.",
+    "conversational": "Sound like a friendly present-day speaker; choose everyday words over learned or official ones.",
+    "literary": "Sound like a careful literary author; rarer words are welcome where they read well.",
+    "academic": "Sound like a scholar; one term for one notion, throughout.",
 }
 PROPER_NOUNS = {
-    "keep_latin": "Keep proper nouns in Latin script, exactly as written.",
-    "devanagari": "Transliterate all proper nouns into Devanagari.",
-    "devanagari_first_use": "Transliterate proper nouns into Devanagari, with the Latin original in parentheses at first use in each chapter.",
+    "keep_latin": "Names of people, places, firms and products stay in Latin letters, letter for letter.",
+    "devanagari": "Names are spelt out in Devanagari letters.",
+    "devanagari_first_use": "Names are spelt out in Devanagari letters; where a chapter first has one, its Latin spelling follows in brackets.",
 }
 IDIOMS = {
-    "keep_english": "Keep recognisable English idioms and fixed expressions in English, inline; translate the prose around them.",
-    "translate_meaning": "Translate idioms by their meaning, without localising them.",
-    "english_plus_gloss": "Keep English idioms inline, with a short gloss in parentheses at first use.",
+    "keep_english": "Set phrases stay in English within the translated sentence.",
+    "translate_meaning": "Say what a set phrase means; money, places and customs stay those of the source.",
+    "english_plus_gloss": "Set phrases stay in English; where one first comes, its meaning follows in brackets.",
 }
 RULES = (
     "Translate every block; never summarise, merge, drop or reorder blocks.",

@@ -29,9 +29,7 @@ def dropped_nouns(source: Column, target: Column, names: Column | None = None, t
 
 
 def missed_terms(source: Column, target: Column, terms: list[tuple[str, str]]) -> Column:
-    """Glossary terms in the source whose rendering isn't in the target."""
-    if len(terms) > INLINE_TERMS:
-        raise ValueError(f"more than {INLINE_TERMS} terms: use glossary_misses()")
+    """Glossary terms in the source whose rendering isn't in the target: a condition for each term, so for short glossaries; glossary_misses() takes any."""
     pairs = [(en, mr) for en, mr in terms if en and mr]
     if not pairs:
         return F.array().cast("array<string>")
@@ -47,10 +45,17 @@ def missed_terms(source: Column, target: Column, terms: list[tuple[str, str]]) -
 
 
 def findings(pairs: DataFrame, terms: list[tuple[str, str]] = (), key: str = "doc_id") -> DataFrame:
-    """(key, rule_no, kind) of every finding in pairs (key, src, tgt); a `names` column holds nouns already held against a lexicon."""
+    """(key, rule_no, kind) of every finding in pairs (key, src, tgt); a `names` column holds nouns already held against a lexicon.
+
+    More than INLINE_TERMS terms are joined, not tested one by one; `key` must then name a row.
+    """
     src, raw = F.coalesce(F.col("src"), F.lit("")), F.coalesce(F.col("tgt"), F.lit(""))
     named = F.col("names") if "names" in pairs.columns else None
     base = pairs.select(key, src.alias("src"), raw.alias("raw"), T.strip_markup(raw).alias("tgt"), *(["names"] if named is not None else []))
+    if long_glossary := len(terms) > INLINE_TERMS:
+        glossary = pairs.sparkSession.createDataFrame(list(terms), "english string, target string")
+        missed = glossary_misses(base.select(key, "src", "tgt"), glossary, key).select(key).distinct().withColumn("missed", F.lit(True))
+        base = base.join(missed, key, "left")
     base = base.withColumn("bare", T.strip(F.col("tgt"))).withColumn("title", T.looks_like_title(F.col("src")))
     base = base.withColumn("prose", (F.size(T.translatable_words(F.col("src"))) > 0) & ~F.col("title"))
     s, t, n = F.col("src"), F.col("tgt"), F.length("src")
@@ -62,7 +67,7 @@ def findings(pairs: DataFrame, terms: list[tuple[str, str]] = (), key: str = "do
         T.has_devanagari_digits(t),
         T.unbalanced(F.col("raw"), "i") | T.unbalanced(F.col("raw"), "b"),
         F.size(dropped_nouns(s, t, named, F.col("title"))) > 2,
-        F.size(missed_terms(s, t, list(terms))) > 0,
+        F.coalesce("missed", F.lit(False)) if long_glossary else F.size(missed_terms(s, t, list(terms))) > 0,
         long & (F.length(t) * 100 < n * 45),
         long & (F.length(t) * 10 > n * 22),
     ]
@@ -92,13 +97,23 @@ def rollup(found: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def glossary_misses(pairs: DataFrame, glossary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, english) as missed_terms finds them, for glossaries of any size: texts and terms meet by the term's first word."""
-    terms = glossary.where("coalesce(english, '') <> '' and coalesce(target, '') <> ''").withColumn("first", F.lower(F.element_at(T.words(F.col("english")), 1)))
-    heads = pairs.select(key, F.explode(F.array_distinct(T.words(F.lower("src")))).alias("first"))
+    """(key, english) as missed_terms finds them, for glossaries of any size.
+
+    Texts and terms meet by the word of the term that the fewest texts have, so a term such as `the
+    frame` isn't sought in every text with `the`. A term without words is sought in all texts.
+    """
+    terms = glossary.where("coalesce(english, '') <> '' and coalesce(target, '') <> ''").select("english", "target").distinct()
+    words_of = terms.select("english", "target", F.explode_outer(F.array_distinct(T.words(F.lower("english")))).alias("word"))
+    heads = pairs.select(key, F.explode(F.array_distinct(T.words(F.lower("src")))).alias("word")).join(words_of.select("word").distinct(), "word", "left_semi")
+    holders = heads.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words_of.where("word is not null").join(holders, "word", "left").groupBy("english", "target").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     quoted = F.regexp_replace("english", r"([^\p{L}\p{N}\s])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?iu)(^|[^\p{L}\p{M}\p{N}_])"), quoted, F.lit(r"([^\p{L}\p{M}\p{N}_]|$)"))
-    near = heads.join(terms, "first").select(key, "english", "target", pattern.alias("pattern"))
-    return near.join(pairs.select(key, "src", "tgt"), key).where(F.regexp_like("src", F.col("pattern")) & ~F.contains("tgt", F.col("target"))).select(key, "english").distinct()
+    pattern = F.concat(F.lit(r"(?iu)(^|[^\p{L}\p{M}\p{N}_])"), quoted, F.lit(r"([^\p{L}\p{M}\p{N}_]|$)")).alias("pattern")
+    near = heads.join(rarest, "word").select(key, "english", "target", pattern).join(pairs.select(key, "src", "tgt"), key)
+    signs = words_of.where("word is null").select("english", "target", pattern)  # few
+    everywhere = pairs.select(key, "src", "tgt").join(signs, F.contains("src", F.col("english")))
+    found = near.select(key, "english", "target", "pattern", "src", "tgt").unionByName(everywhere.select(key, "english", "target", "pattern", "src", "tgt"))
+    return found.where(F.regexp_like("src", F.col("pattern")) & ~F.contains("tgt", F.col("target"))).select(key, "english").distinct()
 
 
 def substring_misses(rows: DataFrame, terms: list[tuple[str, str]], key: str = "doc_id") -> DataFrame:

@@ -40,9 +40,22 @@ def last_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
-def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose key old lacks are added; of several the first stays out of order, so new must hold a key once."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+def insert_missing(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of new whose key old lacks are added, one for each key: the first by `order`, or by all columns where none is given."""
+    rank = F.struct(*([order] if order else []), *(F.col(c).cast("string") for c in old.columns))
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*old.columns), rank).alias("r")).select("r.*")
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
+
+
+def set_page(pages: DataFrame, results: DataFrame, column: str) -> DataFrame:
+    """status or summary of the pages named in results (page_no, value)."""
+    got = pages.join(results.select("page_no", F.col("value").alias("_value")), "page_no", "left")
+    return got.withColumn(column, F.coalesce("_value", column)).select(*pages.columns)
+
+
+def all_final(blocks: DataFrame) -> DataFrame:
+    """Pages all of whose blocks are final."""
+    return blocks.groupBy("page_no").agg(F.bool_and(F.col("final").isNotNull()).alias("all")).where("all").select("page_no")
 
 
 def set_text(blocks: DataFrame, results: DataFrame, column: str) -> DataFrame:

@@ -31,11 +31,27 @@ def chapter_of(events: DataFrame, marks: DataFrame, key: str, at: str, group: st
     return m.unionByName(e).withColumn("chapter", F.last("title", ignorenulls=True).over(w)).where("_side = 1").select(group, key, "chapter")
 
 
+#: Pages that are put in order in one task, about.
+PAGES = 10_000
+
+
 def page_chapters(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Chapter of each page; an outline is small beside its pages, and a range join without a shuffle of them."""
-    r = ranges.limit(100_000)
-    inside = (F.col("page_no") >= F.col("start")) & (F.col("stop").isNull() | (F.col("page_no") <= F.col("stop")))
-    return pages.join(broadcast(r), inside, "left").select(*pages.columns, F.col("title").alias("chapter"))
+    """Chapter of each page: the title of the last range (start, title) that begins at or before it.
+
+    Pages are dealt by number; each share begins with the title in force at its start, and is then
+    one ordered pass, so neither side is broadcast or bounded.
+    """
+    share = lambda c: F.floor(F.col(c) / PAGES).alias("_share")
+    marks = ranges.select(share("start"), F.col("start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct("title").alias("_mark"))
+    ends = marks.groupBy("_share").agg(F.max_by("_mark", "_at").alias("_mark")).unionByName(pages.select(share("page_no")).distinct().withColumn("_mark", F.lit(None).cast("struct<title:string>")))
+    before = Window.orderBy("_share").rangeBetween(Window.unboundedPreceding, -1)  # a row for each share
+    starts = ends.select("_share", F.last("_mark", ignorenulls=True).over(before).alias("_mark")).groupBy("_share").agg(F.first("_mark", ignorenulls=True).alias("_mark"))
+    starts = starts.select("_share", F.lit(None).cast("long").alias("_at"), F.lit(0).alias("_side"), "_mark")
+    rows = pages.select("*", share("page_no"), F.col("page_no").cast("long").alias("_at"), F.lit(1).alias("_side"))
+    all_rows = rows.unionByName(marks.unionByName(starts), allowMissingColumns=True)
+    order = Window.partitionBy("_share").orderBy(F.col("_at").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    got = all_rows.withColumn("_mark", F.last("_mark", ignorenulls=True).over(order)).where("_side = 1")
+    return got.select(*pages.columns, F.col("_mark.title").alias("chapter"))
 
 
 def lookaround(pages: DataFrame, away: int = 1, size: int = 700) -> DataFrame:
@@ -71,18 +87,38 @@ def every_kth(rows: DataFrame, order: str, k: int, group: str) -> DataFrame:
 
 
 def chapter_text(blocks: DataFrame, chapter: Column) -> DataFrame:
-    """Texts of a chapter in page and block order, joined by an empty line. A chapter is one prompt's worth, so one row holds it."""
+    """Texts of a chapter in page and block order, joined by an empty line. One row holds a chapter, so it must be of one prompt's size; chunks() takes any."""
     parts = F.array_sort(F.collect_list(F.struct("page_no", "block_index", "text")))
     return blocks.groupBy(chapter.alias("chapter")).agg(F.array_join(F.transform(parts, lambda p: p.text), "\n\n").alias("text"))
 
 
-def chunked(texts: DataFrame, size: int = 40_000, label: str = "chapter") -> DataFrame:
-    """Pieces of at most `size` characters; labels are numbered only where there are several."""
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    got = texts.where(n > 0).select(label, "text", F.posexplode(starts).alias("i", "at"), n.alias("n"))
-    name = F.when(F.col("n") <= size, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" ("), (F.col("i") + 1).cast("string"), F.lit(")")))
-    return got.select(name.alias(label), F.col("i").alias("chunk"), F.expr(f"substring(text, at + 1, {size})").alias("text"))
+def chunks(blocks: DataFrame, chapter: Column, size: int = 40_000) -> DataFrame:
+    """(chapter, chunk, text): what chapter_text() gives, in pieces of `size` characters; labels are numbered only where there are several.
+
+    A block's place in its chapter is the length of the pages before, by sums of ranges of pages,
+    and of the blocks before on its page; each piece is then put together from the parts of blocks
+    that fall in it, so no task holds a chapter.
+    """
+    b = blocks.select(chapter.alias("chapter"), "page_no", "block_index", "text", (F.length("text") + 2).cast("long").alias("n"), F.floor(F.col("page_no") / 1000).alias("share"))
+    page = b.groupBy("chapter", "share", "page_no").agg(F.sum("n").alias("n"))
+    share = page.groupBy("chapter", "share").agg(F.sum("n").alias("n"))
+    sum_before = lambda *keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = share.select("chapter", "share", sum_before("chapter", order=["share"]).alias("share_at"), (F.sum("n").over(Window.partitionBy("chapter")) - 2).alias("whole"))
+    pages = page.select("chapter", "share", "page_no", sum_before("chapter", "share", order=["page_no"]).alias("page_at"))
+    at = F.col("share_at") + F.col("page_at") + F.col("block_at")
+    placed = (
+        b.withColumn("block_at", sum_before("chapter", "page_no", order=["block_index"])).join(pages, ["chapter", "share", "page_no"]).join(shares, ["chapter", "share"])
+        .select("chapter", "whole", at.alias("at"), F.concat("text", F.lit("\n\n")).alias("text"), "n").where("whole > 0 and at < whole")
+        .withColumn("n", F.least("n", F.col("whole") - F.col("at")))
+    )
+    first, last = F.expr(f"at div {size}"), F.expr(f"(at + n - 1) div {size}")
+    parts = placed.select("chapter", "whole", "at", "text", "n", F.explode(F.sequence(first, last)).alias("chunk"))
+    begin = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0))
+    end = F.least((F.col("chunk") + 1) * size - F.col("at"), F.col("n"))
+    cut = parts.select("chapter", "whole", "chunk", "at", F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
+    joined = cut.groupBy("chapter", "whole", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p.text), "").alias("text"))  # `size` characters
+    name = F.when(F.col("whole") <= size, F.col("chapter")).otherwise(F.concat("chapter", F.lit(" ("), (F.col("chunk") + 1).cast("string"), F.lit(")")))
+    return joined.select(name.alias("chapter"), "chunk", "text")
 
 
 def vision_targets(page_map: DataFrame, n_out: Column, group: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assemble, checks, corpus, glossary, jobs, layout, ledger, overview, rules, state, structure
-from ..sources import files
+from ..sources import files, tables
 from . import sql as S
 from .text_queries import TERMS, docs, n, pages, pairs
 
@@ -134,35 +134,39 @@ def page_chapters(spark, d):
     return structure.page_chapters(part.select(F.col("p_partkey").alias("page_no")), structure.outline_ranges(marks))
 
 
-@query("""with p as (select doc_id + 1 as page_no, text from documents where doc_id % 97 <> 5), l as (select max(page_no) as m from p)
+@query("""with p as (select doc_id + 1 + doc_id // 96 as page_no, text from documents), l as (select max(page_no) as m from p)
 select p.page_no, case when p.page_no - 2 < 1 then '(start of book)' else coalesce(right(a.text, 700), '(no text on this page)') end as prev,
 case when p.page_no + 2 > l.m then '(end of book)' else coalesce(left(b.text, 700), '(no text on this page)') end as next
 from p cross join l left join p a on a.page_no = p.page_no - 2 left join p b on b.page_no = p.page_no + 2""")
 def lookaround(spark, d):
-    """Text two pages away on both sides; some pages are missing."""
-    p = docs(spark, d).where("doc_id % 97 <> 5").select((F.col("doc_id") + 1).alias("page_no"), "text")
+    """Text two pages away on both sides; every 97th page has none."""
+    p = docs(spark, d).select(F.expr("doc_id + 1 + doc_id div 96").alias("page_no"), "text")
     return structure.lookaround(p, 2, 700)
 
 
-_CHAPTERS = f"{S.LINES}, ch as (select coalesce(lang, '(front matter)') || '/' || source as chapter, string_agg(text, chr(10) || chr(10) order by page_no, block_index) as text from lines group by 1)"
+#: A chapter is a part of a language's source of a thousand pages at most.
+_CHAPTER = "coalesce(lang, '(front matter)') || '/' || source || '/' || page_no // 1000"
+_CHAPTERS = f"{S.LINES}, ch as (select {_CHAPTER} as chapter, string_agg(text, chr(10) || chr(10) order by page_no, block_index) as text from lines group by 1)"
 
 
-def _chapters(spark, d) -> DataFrame:
-    b = assemble.line_blocks(docs(spark, d))
-    return structure.chapter_text(b, F.concat(F.coalesce("lang", F.lit(jobs.FRONT)), F.lit("/"), F.col("source")))
+def _chapter(part: bool):
+    parts = [F.coalesce("lang", F.lit(jobs.FRONT)), "source", *([F.expr("page_no div 1000").cast("string")] if part else [])]
+    return F.array_join(F.array(*parts), "/", "null")
 
 
 @query(f"with {_CHAPTERS} select chapter, md5(text) as text_md5, length(text) as n from ch")
 def chapter_text(spark, d):
     """Texts of each chapter in order."""
-    return _chapters(spark, d).select("chapter", F.md5(F.col("text").cast("binary")).alias("text_md5"), n(F.length("text")).alias("n"))
+    got = structure.chapter_text(assemble.line_blocks(docs(spark, d)), _chapter(True))
+    return got.select("chapter", F.md5(F.col("text").cast("binary")).alias("text_md5"), n(F.length("text")).alias("n"))
 
 
-@query(f"""with {_CHAPTERS}, p as (select *, unnest(range(0, length(text), 5000)) as pos from ch)
+@query(f"""with {S.LINES}, ch as (select coalesce(lang, '(front matter)') || '/' || source as chapter, string_agg(text, chr(10) || chr(10) order by page_no, block_index) as text from lines group by 1),
+p as (select *, unnest(range(0, length(text), 5000)) as pos from ch)
 select case when length(text) <= 5000 then chapter else chapter || ' (' || (pos // 5000 + 1) || ')' end as chapter, pos // 5000 as chunk, substr(text, pos + 1, 5000) as text from p""")
 def chunks(spark, d):
-    """Chapters cut to what a call takes."""
-    return structure.chunked(_chapters(spark, d), 5000).withColumn("chunk", n(F.col("chunk")))
+    """Chapters, here all of a language's source, cut to what a call takes."""
+    return structure.chunks(assemble.line_blocks(docs(spark, d)), _chapter(False), 5000).withColumn("chunk", n(F.col("chunk")))
 
 
 @query("select doc_id % 10 as book, doc_id as page_no, doc_id - 1 + coalesce(sum(length(text) // 3000) over (partition by doc_id % 10 order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as out_idx from documents")
@@ -177,7 +181,7 @@ def _extra(spark, d) -> DataFrame:
 
 @query("""with o as (select doc_id % 10 as book, doc_id as page_no, doc_id - 1 + coalesce(sum(length(text) // 3000) over (partition by doc_id % 10 order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as out_idx, length(text) // 3000 as x from documents),
 w as (select *, coalesce(lead(out_idx) over (partition by book order by page_no), out_idx + x + 1) as stop from o)
-select book, page_no, unnest(range(out_idx, greatest(stop, out_idx + 1))) as out_page from w where page_no < 300""")
+select book, page_no, unnest(range(out_idx, greatest(stop, out_idx + 1))) as out_page from w""")
 def vision_targets(spark, d):
     """Output pages of each source page."""
     extra = _extra(spark, d)
@@ -281,7 +285,7 @@ def rects(spark, d: str) -> DataFrame:
 
 #: Numbers by a count of the rows before: with row_number() - 1 the recursive form below loses the subtraction.
 _COUNTED = S.LINES.replace("row_number() over (partition by doc_id order by pos) - 1", "count(*) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)")
-_RECTS = f"""{_COUNTED}, raw as (select page_no, block_index as i, block_index // 4 as box, block_index % 4 as side, 72 + (block_index // 4) % 2 * 200 as x, 72 + block_index // 8 * 60 as y, case when (page_no + block_index // 4) % 5 = 0 then 9 else 1 end as t from lines where page_no % 4 = 0 and block_index < 40),
+_RECTS = f"""{_COUNTED}, raw as (select page_no, block_index as i, block_index // 4 as box, block_index % 4 as side, 72 + (block_index // 4) % 2 * 200 as x, 72 + block_index // 8 * 60 as y, case when (page_no + block_index // 4) % 5 = 0 then 9 else 1 end as t from lines),
 rects as (select page_no, i, (case when side = 1 then x + 149 else x end)::double as x0, (case when side = 2 then y + 39 else y end)::double as y0, (case when side = 3 then x + t else x + 150 end)::double as x1, (case when side = 0 then y + t else y + 40 end)::double as y1 from raw)"""
 
 
@@ -312,10 +316,14 @@ def inside_frames(spark, d):
 
 @query(None)
 def page_flow(spark, d):
-    """Paragraphs flowed down their pages by the first rung that fits; a fold with a measurer, which SQL has none of."""
+    """Paragraphs flowed down their pages, past figures and within drawn boxes, by the first rung that fits; a fold with a measurer, which SQL has none of."""
     b = boxes(spark, d).select("page_no", F.col("block_index").cast("int").alias("block_index"), "x0", "y0", "x1", "y1", "size", F.col("text").alias("src"), "text")
-    frames = docs(spark, d).select(F.col("doc_id").alias("page_no"), F.lit(72.0).alias("x0"), F.lit(72.0).alias("y0"), F.lit(540.0).alias("x1"), F.lit(720.0).alias("y1"))
-    return layout.laid_out(layout.merged_paragraphs(b), frames)
+    p, k = docs(spark, d).select(F.col("doc_id").alias("page_no")), F.col("page_no")
+    at = lambda x0, y0, x1, y1: [F.lit(c).cast("double").alias(a) if isinstance(c, float) else c.cast("double").alias(a) for a, c in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)]
+    frames = p.select("page_no", *at(72.0, 72.0, 540.0, 720.0))
+    figures = p.where("page_no % 4 = 1").select("page_no", *at(100.0, 80.0 + k % 50, 300.0, 120.0 + k % 50))
+    held = p.where("page_no % 4 = 2").select("page_no", *at(70.0, 70.0, 400.0 + k % 60, 500.0 + k % 100))
+    return layout.laid_out(layout.merged_paragraphs(b), frames, figures, held)
 
 
 # --- sources, jobs, checks, ledgers, corpora ---
@@ -358,7 +366,7 @@ def translate_pages(spark, d):
     """Page jobs run against the local provider, validated and joined again."""
     b = assemble.line_blocks(docs(spark, d))
     work = jobs.page_jobs(b.select("page_no", "block_index", "text"), docs(spark, d).select(F.col("doc_id").alias("page_no"), F.col("lang").alias("chapter")))
-    got = jobs.parsed(jobs.call_all(work, jobs.Echo()))
+    got = jobs.parsed(jobs.call_all(work, jobs.Echo(), tables.scratch(spark, "answers")))
     text = F.array_join(F.transform(F.array_sort("answers"), lambda a: a.text), "\n")
     return got.join(work.select("page_no", "chapter"), "page_no").select("page_no", "chapter", n(F.size("answers")).alias("n_blocks"), F.md5(text.cast("binary")).alias("drafts_md5"))
 
@@ -413,7 +421,7 @@ def tier_pivot(spark, d):
 
 @query("""select text as english, 'म ' || text as target, 'parallel' as source, 'parallel_sentence' as type from benchmark union all
 select src, tgt, 'dialogue', 'parallel_sentence' from (select text as src, lead(text) over (partition by conv_id order by turn) as tgt from conversations) where tgt is not null union all
-select string_agg(p_name, '|' order by p_partkey), p_brand, 'lexicon', 'dictionary_synset' from part group by p_brand""")
+select string_agg(p_name, '|' order by p_partkey), p_brand, 'lexicon', 'dictionary_synset' from part group by p_brand, p_partkey // 100""")
 def corpus_union(spark, d):
     """Three corpora under one schema, lists of terms beside sentences."""
     from pyspark.sql import Window
@@ -421,7 +429,7 @@ def corpus_union(spark, d):
     bench = spark.read.parquet(f"{d}/benchmark.parquet")
     talk = spark.read.parquet(f"{d}/conversations.parquet").withColumn("tgt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("tgt is not null")
     names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x.p_name)
-    lex = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(names.alias("names"))
+    lex = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand", F.expr("p_partkey div 100")).agg(names.alias("names"))  # a hundred at most
     one = lambda c: F.array(F.col(c))
     got = corpus.unified([(bench, one("text"), F.array(F.concat(F.lit("म "), "text")), "parallel", "parallel_sentence"), (talk, one("text"), one("tgt"), "dialogue", "parallel_sentence"), (lex, F.col("names"), one("p_brand"), "lexicon", "dictionary_synset")])
     return got.select(F.array_join("english", "|").alias("english"), F.array_join("target", "|").alias("target"), "source", "type")
@@ -446,8 +454,8 @@ def extractor_crosscheck(spark, d):
     part = F.expr("case when doc_id % 5 = 0 then left(text, length(text) div 3) when doc_id % 5 = 1 then left(text, length(text) * 8 div 10) else text end")
     rows = [(t, "a", F.col("text")), (t, "b", part), (t, "c", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("(cid:3)"))).otherwise(F.col("text"))), (t.where("doc_id % 11 = 0"), "a", F.lit("(cid:9)"))]
     out = None
-    for table, method, text in rows:
-        got = table.select("doc_id", F.lit(method).alias("method"), F.lit("text").alias("type"), text.alias("text"))
+    for rows_of, method, text in rows:
+        got = rows_of.select("doc_id", F.lit(method).alias("method"), F.lit("text").alias("type"), text.alias("text"))
         out = got if out is None else out.unionByName(got)
     return corpus.cross_checked(out, ("a", "b", "c"), "doc_id")
 
@@ -493,31 +501,69 @@ def untranslated_units(spark, d):
     return checks.untranslated_units(units, excused)
 
 
-@query("select doc_id as page_no, case when doc_id % 17 = 0 then 5 else 3 end as deficit from documents where doc_id % 17 = 0 or doc_id % 19 = 0")
+_GLYPHS = "length(regexp_replace({}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+_PAINTED = "case when doc_id % 17 = 0 then regexp_replace(text, '[aeiou]', '', 'g') when doc_id % 19 = 0 then right(text, length(text) - 3) else replace(text, chr(10), '  ') end"
+
+
+@query(f"select doc_id as page_no, e - g as deficit from (select doc_id, {_GLYPHS.format('text')} as e, {_GLYPHS.format(_PAINTED)} as g from documents) where g < e - 2")
 def glyph_deficits(spark, d):
     """Pages that painted too few glyphs."""
-    e, k = F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")), F.col("doc_id")
-    g = docs(spark, d).select(k.alias("page_no"), n(e).alias("expected"), n(e - F.when(k % 17 == 0, 5).when(k % 19 == 0, 3).otherwise(k % 3)).alias("got"))
-    return checks.glyph_deficits(g).withColumn("deficit", F.col("deficit").cast("int"))
+    return checks.glyph_deficits(_glyphs(spark, d)).withColumn("deficit", n(F.col("deficit")))
+
+
+def _glyphs(spark, d) -> DataFrame:
+    """Glyphs of each page's text, and of what is left of it."""
+    count, k, t = lambda c: n(F.length(F.regexp_replace(c, r"[\x20\x09-\x0D]", ""))), F.col("doc_id"), F.col("text")
+    painted = F.when(k % 17 == 0, F.regexp_replace(t, "[aeiou]", "")).when(k % 19 == 0, F.expr("right(text, length(text) - 3)")).otherwise(F.replace(t, F.lit("\n"), F.lit("  ")))
+    return docs(spark, d).select(k.alias("page_no"), count(t).alias("expected"), count(painted).alias("got"))
+
+
+@query(f"""with g as (select doc_id as page_no, {_GLYPHS.format('text')} as e, {_GLYPHS.format(_PAINTED)} as g from documents),
+r as (select page_no, e, g, row_number() over (order by page_no) - 1 as r, count(*) over () as n from g), s as (select * from r where r % greatest(1, n // 40) = 0 and r // greatest(1, n // 40) < 40)
+select sum(e)::bigint as expected, sum(g)::bigint as got, count(*) filter (g < e - 2) as n_short, coalesce((select string_agg(page_no || ':' || d, ',' order by d desc, page_no) from (select page_no, e - g as d from s where g < e - 2 order by d desc, page_no limit 3)), '') as worst, count(*) as pages from s""")
+def glyph_audit(spark, d):
+    """Totals of a sample of forty pages and its three worst (limits that are the feature)."""
+    return checks.glyph_audit(_glyphs(spark, d), 40).select(*(n(F.col(c)).alias(c) for c in ("expected", "got", "n_short")), "worst", n(F.col("pages")).alias("pages"))
+
+
+_KEPT = "case when doc_id % 50 = 7 then text || '!' else text end"
 
 
-@query(f"""with {_BLOCKS}, c as (select 1 as check_no, 'images' as name, 0 as n, count(distinct sha256(text)) as t from documents
+@query(f"""with {_BLOCKS}, want as (select distinct sha256(text) as h from documents), found as (select distinct sha256({_KEPT}) as h from documents),
+lost as (select len(list_filter({S.raw_numbers('text')}, lambda x: not list_contains({S.numbers("coalesce(final, draft)")}, x))) as lost from (select text, draft, case when block_index % 9 = 4 then regexp_replace(final, '[0-9]', '', 'g') else final end as final from blocks) where draft is not null),
+c as (select 1 as check_no, 'images' as name, count(*) filter (h not in (select h from found)) as n, count(*) as t from want
 union all select 2, 'translated', count(*) filter (draft is null and final is null), count(*) from blocks
-union all select 3, 'numbers', 0, count(*) from blocks where draft is not null
-union all select 4, 'outline', count(*) filter (n_nationkey not between 1 and 20), count(*) from nation)
+union all select 3, 'numbers', count(*) filter (lost > 0), count(*) from lost
+union all select 4, 'outline', count(*) filter (page not between 1 and 20 or not regexp_matches(title, '[ऀ-ॿ]')), count(*) from (select n_nationkey as page, case when n_regionkey > 1 then 'म ' || n_name else n_name end as title from nation)
+union all select 5, 'regions', count(*) filter (r_name = ''), count(*) from region)
 select check_no, name, n = 0 as passed, n || '/' || t as detail from c union all select 0, 'all', bool_and(n = 0), count(*) filter (n = 0) || '/' || count(*) from c""")
 def acceptance(spark, d):
     """Several checks, all run, then all needed."""
     b = blocks(spark, d)
-    hashes = docs(spark, d).select(F.sha2("text", 256).alias("sha256")).distinct()
-    lost = b.where("draft is not null").select(F.size(F.array_except(T.numbers_in(F.col("text")), T.numbers_in(F.col("draft")))).alias("lost"))
-    nation = spark.read.parquet(f"{d}/nation.parquet")
+    k = F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    hashes = docs(spark, d).select(F.sha2("text", 256).alias("sha256"))
+    missing = checks.images_missing(hashes, docs(spark, d).select(F.sha2(k, 256).alias("sha256"))).withColumn("lost", F.lit(True))
+    images = hashes.distinct().join(missing, "sha256", "left")
+    final = F.when(F.col("block_index") % 9 == 4, F.regexp_replace("final", "[0-9]", "")).otherwise(F.col("final"))
+    lost = b.where("draft is not null").select(F.size(rules.lost_numbers(F.col("text"), F.coalesce(final, "draft"))).alias("lost"))
+    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("page"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("म "), "n_name")).otherwise(F.col("n_name")).alias("title"))
     return checks.all_passed([
-        checks.check(1, "images", hashes, F.col("sha256").isNull()), checks.check(2, "translated", b, F.col("draft").isNull() & F.col("final").isNull()),
-        checks.check(3, "numbers", lost, F.col("lost") > 0), checks.check(4, "outline", nation, ~F.col("n_nationkey").between(1, 20)),
+        checks.check(1, "images", images, F.coalesce("lost", F.lit(False))), checks.check(2, "translated", b, F.col("draft").isNull() & F.col("final").isNull()),
+        checks.check(3, "numbers", lost, F.col("lost") > 0), checks.check(4, "outline", nation, ~F.col("page").between(1, 20) | ~T.has_devanagari(F.col("title"))),
+        checks.check(5, "regions", spark.read.parquet(f"{d}/region.parquet"), F.col("r_name") == ""),
     ])
 
 
+@query("""with o as (select n_regionkey as book, n_nationkey * 6 as page, case when n_regionkey > 1 and n_nationkey % 2 = 0 then 'म ' || n_name else n_name end as title from nation)
+select book, count(*) as entries, count(*) filter (page not between 1 and 130) as outside, count(*) filter (regexp_matches(title, '[ऀ-ॿ]')) as translated,
+count(*) = 0 or (count(*) filter (page not between 1 and 130) = 0 and count(*) filter (regexp_matches(title, '[ऀ-ॿ]')) > 0) as passed from o group by book""")
+def outline_check(spark, d):
+    """Outline entries that point outside their book, and translated ones."""
+    title = F.when((F.col("n_regionkey") > 1) & (F.col("n_nationkey") % 2 == 0), F.concat(F.lit("म "), "n_name")).otherwise(F.col("n_name"))
+    o = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("book"), (F.col("n_nationkey") * 6).alias("page"), title.alias("title"))
+    return checks.outline_errors(o, F.lit(130), "book")
+
+
 @query("select bool_or(contains(p_name || case when p_partkey = 7 then ' Devanagari' else '' end, 'Devanagari')) as passed, string_agg(distinct p_brand || case when p_partkey = 7 then ' Devanagari' else '' end, ',' order by p_brand || case when p_partkey = 7 then ' Devanagari' else '' end) as fonts from part")
 def font_faces(spark, d):
     """Font faces on sampled pages."""
@@ -525,21 +571,25 @@ def font_faces(spark, d):
     return checks.font_faces(part.select(F.col("p_partkey").alias("page_no"), F.concat("p_brand", F.when(F.col("p_partkey") == 7, " Devanagari").otherwise("")).alias("font")))
 
 
-@query(f"with {S.PAIRS} select lang, true as devanagari, false as tofu, sum(length(tgt))::bigint as chars, true as passed from pairs group by lang")
+_LAYER = "case when doc_id % 100 = 13 then tgt || chr(65533) else tgt end"
+
+
+@query(f"""with {S.PAIRS}, t as (select lang || '/' || doc_id % 5 as sample, {_LAYER} as text from pairs), r as (select sample, bool_or(regexp_matches(text, '[ऀ-ॿ]')) as devanagari, bool_or(contains(text, chr(65533)) or contains(text, chr(9633))) as tofu, sum(length(text))::bigint as chars from t group by sample)
+select *, devanagari and not tofu as passed from r""")
 def text_layer(spark, d):
-    """Text of the output, by language: readable and free of replacement characters."""
-    t = pairs(spark, d)
-    out = None
-    for (lang,) in [("de",), ("en",), ("es",), ("fr",)]:
-        got = checks.text_layer(t.where(F.col("lang") == lang).select(F.col("tgt").alias("text"))).select(F.lit(lang).alias("lang"), "devanagari", "tofu", "chars", "passed")
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Text of the output, by sample: readable and free of replacement characters."""
+    text = F.when(F.col("doc_id") % 100 == 13, F.concat("tgt", F.lit("\ufffd"))).otherwise(F.col("tgt"))
+    t = pairs(spark, d).select(F.concat("lang", F.lit("/"), (F.col("doc_id") % 5).cast("string")).alias("sample"), text.alias("text"))
+    return checks.text_layer(t, "sample").select("sample", "devanagari", "tofu", "chars", "passed")
+
+
+_BARE = "case doc_id % 5 when 0 then repeat(' ', 30) || coalesce(lang, '') || chr(9) when 1 then source else text end"
 
 
-@query(f"select doc_id, n_chars from documents where length(regexp_replace(left(text, doc_id % 60), '^{S.BLANK}+|{S.BLANK}+$', '', 'g')) < 20")
+@query(f"select doc_id, n_chars from documents where length(regexp_replace({_BARE}, '^{S.BLANK}+|{S.BLANK}+$', '', 'g')) < 20")
 def image_only_pages(spark, d):
-    """Pages with hardly any text (here cut short by number)."""
-    t = docs(spark, d).withColumn("text", F.expr("left(text, doc_id % 60)"))
+    """Pages with hardly any text; two fifths bear a label only."""
+    t = docs(spark, d).withColumn("text", F.expr("case doc_id % 5 when 0 then repeat(' ', 30) || coalesce(lang, '') || '\t' when 1 then source else text end"))
     return overview.image_only_pages(t).select("doc_id", "n_chars")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assemble import BLOCK
+from .tables import file_system
 
 PAGES = f"page_no long, width double, height double, rotation int, blocks array<{BLOCK}>"
 MARKS = "level int, title string, page int, idx int"
@@ -64,17 +65,56 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Replaces a table whole: written beside it, then renamed, so readers see the old or the new one."""
+    """Replaces a table whole. A new version is written beside the old ones, then a pointer names it; readers (current()) see the old or the new one.
+
+    A crash at any step leaves the pointer on a whole version: the rename that sets it is one step,
+    and the versions before go only after it. `path` itself holds the versions and the pointers.
+    """
     spark = df.sparkSession
+    fs, root = file_system(spark, path)
+    old = _versions(fs, root)
+    version = f"v{(old[-1][0] + 1 if old else 1):010d}"
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old, now = (fs_path(f"{path}{s}") for s in ("._new", "._old", ""))
-    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(new.toString())
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
+    fs.delete(fs_path(f"{path}/{version}"), True)  # left by a crash before its pointer was set
+    df.write.parquet(f"{path}/{version}")
+    pointer = fs_path(f"{path}/_{version}.new")
+    fs.create(pointer, True).close()
+    if not fs.rename(pointer, fs_path(f"{path}/_{version}.current")):
+        raise OSError(f"{path}: {version} is there already")
+    for _, name in old:
+        fs.delete(fs_path(f"{path}/_{name}.current"), False)
+        fs.delete(fs_path(f"{path}/{name}"), True)
+
+
+def _versions(fs, root) -> list[tuple[int, str]]:
+    """(number, name) of the versions that a pointer names, in order."""
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted((int(n[2:-8]), n[1:-8]) for n in names if n.startswith("_v") and n.endswith(".current"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that swap_in() put there last, None before the first."""
+    had = _versions(*file_system(spark, path))
+    return spark.read.parquet(f"{path}/{had[-1][1]}") if had else None
+
+
+def read_in_batches(spark: SparkSession, path: str, schema: str, size: int, use: Callable[[pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+    """JSON lines given to `use` in batches of `size` rows (fewer at the end of a task's share)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            while sum(map(len, held)) >= size:
+                rows = pd.concat(held, ignore_index=True)
+                held = [rows.iloc[size:]]
+                yield use(rows.iloc[:size])
+        if held and sum(map(len, held)):
+            yield use(pd.concat(held, ignore_index=True))
+
+    return read_json(spark, path, schema).mapInPandas(run, out)
 
 
 class Config:

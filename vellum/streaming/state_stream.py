@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import state
-from ..sources.files import swap_in
+from ..sources.files import current, swap_in
 
 
 def upsert_stream(blocks: DataFrame, path: str, checkpoint: str, empty: Callable[[], DataFrame]) -> StreamingQuery:
-    """Applies every micro-batch of blocks to the table at `path`; a repeated batch changes nothing, as the upsert is idempotent."""
+    """Applies every micro-batch of blocks to the table at `path` (read it by current()); a repeated batch changes nothing, as the upsert is idempotent."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        old = spark.read.parquet(path) if there else empty()
+        old = current(batch.sparkSession, path)
+        old = empty() if old is None else old
         latest = state.last_written(batch, ["page_no", "block_index"], "seq").drop("seq") if "seq" in batch.columns else batch
         swap_in(state.upsert_blocks(old, latest), path)
 
