@@ -48,9 +48,9 @@ def page_number_losses(blocks: DataFrame, excused: DataFrame) -> DataFrame:
     return lost.groupBy("page_no").agg(F.array_join(F.array_sort(F.collect_set("number")), ",").alias("lost"))
 
 
-def font_faces(fonts: DataFrame) -> DataFrame:
-    """Whether any sampled page has a Devanagari face, and which there are. fonts: page_no, font."""
-    return fonts.agg(F.coalesce(F.bool_or(F.contains("font", F.lit("Devanagari"))), F.lit(False)).alias("passed"), F.array_join(F.array_sort(F.collect_set("font")), ",").alias("fonts"))
+def font_faces(fonts: DataFrame, wanted: str = "Devanagari") -> DataFrame:
+    """Whether any sampled page has a face so named, and which there are. fonts: page_no, font."""
+    return fonts.agg(F.coalesce(F.bool_or(F.contains("font", F.lit(wanted))), F.lit(False)).alias("passed"), F.array_join(F.array_sort(F.collect_set("font")), ",").alias("fonts"))
 
 
 def glyph_audit(glyphs: DataFrame, k: int = 40, worst: int = 3) -> DataFrame:

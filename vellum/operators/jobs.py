@@ -112,12 +112,13 @@ def call_all(jobs: DataFrame, provider: Provider, path: str, concurrency: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for r in pdf.itertuples(index=False):
                 try:
-                    out = (r.page_no, list(r.ids), policy.call(lambda r=r: content(provider.call(r.request))), None)
+                    out.append((r.page_no, list(r.ids), policy.call(lambda r=r: content(provider.call(r.request))), None))
                 except Exception as e:  # noqa: BLE001  a page's failure is a row
-                    out = (r.page_no, list(r.ids), None, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([out], columns=["page_no", "ids", "response", "error"])
+                    out.append((r.page_no, list(r.ids), None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["page_no", "ids", "response", "error"])
 
     spark = jobs.sparkSession
     todo = jobs.select("page_no", "ids", "request")
@@ -129,12 +130,20 @@ def call_all(jobs: DataFrame, provider: Provider, path: str, concurrency: int =
     return best.select("page_no", "r.*")
 
 
+def last_answers(answers: Column) -> Column:
+    """Of the answers (id, text) to one id the last, by id."""
+    placed = F.array_sort(F.transform(answers, lambda a, k: F.struct(a.id.alias("id"), k.alias("at"), a.text.alias("text"))))
+    last = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, k: ~F.get(s, k + 1).id.eqNullSafe(x.id)))[0]
+    return F.transform(last, lambda x: F.struct(x.id.alias("id"), x.text.alias("text")))
+
+
 def validated(responses: DataFrame) -> DataFrame:
     """(page_no, missing, empty, ok) from sent ids and answers (id, text): ids never answered, and ids whose last answer is blank. Other ids are let through unless blank."""
-    last = F.map_from_arrays(F.array_distinct(F.transform("answers", lambda a: a.id)), F.transform(F.array_distinct(F.transform("answers", lambda a: a.id)), lambda i: F.element_at(F.filter("answers", lambda a: a.id == i), -1).text))
-    got = responses.withColumn("_last", last)
-    missing = F.array_sort(F.filter("ids", lambda i: ~F.map_contains_key(F.col("_last"), i)))
-    empty = F.array_sort(F.map_keys(F.map_filter("_last", lambda _, v: F.regexp_replace(F.coalesce(v, F.lit("")), r"[\x20\x09-\x0D]", "") == "")))
+    got = responses.withColumn("_last", last_answers(F.col("answers")))
+    answered = F.array(F.transform("_last", lambda a: a.id))
+    missing = F.transform(answered, lambda had: F.array_sort(F.filter("ids", lambda i: ~F.array_contains(had, i))))[0]
+    blank = lambda a: F.regexp_replace(F.coalesce(a.text, F.lit("")), r"[\x20\x09-\x0D]", "") == ""
+    empty = F.transform(F.filter("_last", blank), lambda a: a.id)
     out = got.select("page_no", missing.alias("missing"), empty.alias("empty"))
     return out.withColumn("ok", (F.size("missing") == 0) & (F.size("empty") == 0))
 

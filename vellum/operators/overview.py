@@ -16,6 +16,26 @@ def image_only_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.where(F.length(bare) < MIN_PAGE_CHARS)
 
 
+def text_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with anything but white space."""
+    return pages.where(F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+
+
+def first_rows(rows: DataFrame, order: str, k: int = 15) -> DataFrame:
+    """The first k rows in order."""
+    return rows.orderBy(order).limit(k)
+
+
+def fallback(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Adds `text`: the first text that isn't empty; rows without one go."""
+    return rows.withColumn("text", F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))).where("text is not null")
+
+
+def counters(pages: DataFrame, *group: str) -> DataFrame:
+    """Failures and continuation pages. pages: failed, n_extra."""
+    return pages.groupBy(*group).agg(F.count_if("failed").alias("failures"), F.sum("n_extra").alias("continuations"))
+
+
 def document_stats(pages: DataFrame, images: DataFrame, *group: str) -> DataFrame:
     """Pages, characters, distinct images and whether there is text enough to work on. Both hold the group's columns; pages has text, images xref."""
     p = pages.groupBy(*group).agg(F.count("*").alias("pages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
