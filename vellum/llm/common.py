@@ -7,8 +7,6 @@ works on UTF-8 bytes without decoding. A task holds one block of texts at a time
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,6 +16,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise, release, scratch, shared_dir  # noqa: F401  for the operators
+
 #: Bytes of text that one numpy pass takes at most, but for a single longer text.
 BLOCK_BYTES = 300_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session's own limit is lower.
@@ -32,51 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set for a session on one machine; a cluster is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/vellum-{uuid.uuid4().hex}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def _file_system(spark: SparkSession, folder: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; deleted when the JVM ends, if not released before."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, p = _file_system(spark, folder)
-    fs.mkdirs(p)  # only what exists can be marked for deletion
-    fs.deleteOnExit(p)
-    return f"{folder}/table"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read again: it outlives executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes what materialise() wrote for these; nothing that still is to be computed may read them."""
-    for t in tables:
-        fs, p = _file_system(t.sparkSession, t._written_at)
-        fs.delete(p.getParent(), True)
-
-
 def held_out(doc_id: str = "doc_id"):
     """True for the fifth of documents whose labels are never learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
