@@ -27,6 +27,12 @@ def query(sql: str | None):
     return add
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Dealt over the cores where a scan has fewer tasks than half of them: a file of one row group can't be split by size, and the patterns that follow cost far more than the shuffle of its texts. A table of many files or row groups is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -42,7 +48,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, "").when(k == 1, t).when(k == 2, F.regexp_replace(t, "[0-9]", "")).when(k == 3, F.translate(t, "0123456789", T.DEVANAGARI_DIGITS))
         .when(k == 4, F.concat(F.lit("<b>"), F.expr("left(text, length(text) div 3)"))).when(k == 5, F.concat(F.lit("म "), t, F.lit(" "), t, F.lit(" "), t)).otherwise(F.concat(F.lit("म "), t))
     )
-    return docs(spark, d).select("doc_id", "lang", "source", t.alias("src"), target.alias("tgt"))
+    return spread(docs(spark, d).select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", t.alias("src"), target.alias("tgt"))
 
 
 def joined(c: Column) -> Column:
@@ -137,20 +143,20 @@ def looks_like_title(spark, d):
 @query(f"select doc_id, {S.joined(S.nouns('text'))} as nouns from documents")
 def proper_nouns(spark, d):
     """Likely names of each text."""
-    return docs(spark, d).select("doc_id", "text").select("doc_id", joined(T.proper_nouns(F.col("text"))).alias("nouns"))
+    return spread(docs(spark, d).select("doc_id", "text")).select("doc_id", joined(T.proper_nouns(F.col("text"))).alias("nouns"))
 
 
 @query(f"select distinct unnest({S.lexicon_words('text')}) as word from documents")
 def lexicon(spark, d):
     """Every lower-case word of the corpus."""
-    return rules.lexicon(docs(spark, d).select("doc_id", "text"))
+    return rules.lexicon(spread(docs(spark, d).select("doc_id", "text")))
 
 
 @query(f"""with lex as (select distinct unnest({S.lexicon_words('text')}) as word from documents), nn as (select doc_id, unnest({S.nouns('text')}) as noun from documents)
 select doc_id, noun from nn where lower(noun) not in (select word from lex) and regexp_replace(lower(noun), '^[''’s]+|[''’s]+$', '', 'g') not in (select word from lex)""")
 def unknown_tokens(spark, d):
     """Names that the lexicon doesn't have."""
-    t = docs(spark, d).select("doc_id", "text")
+    t = spread(docs(spark, d).select("doc_id", "text"))
     return rules.unknown_nouns(t, rules.lexicon(t))
 
 
