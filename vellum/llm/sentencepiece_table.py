@@ -31,7 +31,7 @@ from .common import map_arrow, table, texts_udf
 
 MARK = "▁"
 #: Bytes of chunks and ids (as text) in a generation of a worker's table, at most, but for those of one block of texts.
-MOST_BYTES = 4_000_000
+MOST_BYTES = 2_000_000
 #: Characters of a chunk that is kept; a longer one is segmented where it stands.
 LONGEST = 64
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")

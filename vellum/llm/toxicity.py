@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, table, texts_udf
+from .common import Words, give_back, held_out, table, texts_udf
 
 BITS = 21
 _U = np.uint64
@@ -147,6 +147,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", p: FTRL
     def learnt(batches):
         rows = ((ids, y) for b in batches for ids, y in zip(b.column("ids").to_pylist(), b.column("_y").to_pylist(), strict=True))
         model = fit(bounded(rows, p.max_bytes), p)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([-1, *model.features], pa.int64()), pa.array([model.bias, *model.weights], pa.float64())], ["feature", "weight"])
 
     ordered = sample(documents, labels, label, p).repartition(1).sortWithinPartitions("_at", "doc_id", "ids")
