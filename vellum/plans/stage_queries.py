@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as T
-from ..operators import assemble, checks, jobs, layout, overview, stages, state, structure
+from ..operators import assemble, checks, corpus, jobs, layout, overview, stages, state, structure
 from ..sources import tables
 from . import sql as S
 from .table_queries import _BLOCKS, _BOXES, blocks, boxes, events, with_status
@@ -251,3 +251,18 @@ def insert_first(spark, d):
     new = c.where("id % 3 = 0")
     both = new.select("id", F.upper("name").alias("name"), (F.col("id") % 2).alias("at")).unionByName(new.select("id", F.lower("name").alias("name"), ((F.col("id") + 1) % 2).alias("at")))
     return state.insert_missing(c.where("id % 2 = 0").withColumn("at", F.lit(0).cast("long")), both, ["id"], "at").select("id", "name")
+
+
+_KIND = "case block_index % 6 when 1 then 'image_ref' when 2 then 'table' when 3 then 'equation' when 4 then null else 'text' end"
+_CODE = f"""(contains(t, '```') or regexp_matches(t, '[{{}}]') or len(list_filter({S.words('t')}, lambda w: regexp_full_match(w, '[a-z]+[A-Z][a-z]+'))) > 0 or regexp_matches(t, '^{S.BLANK}*<[^>]+>{S.BLANK}*$'))"""
+
+
+@query(f"""with {S.LINES}, p as (select page_no, block_index, {_KIND} as kind, case when page_no % 5 = 0 then text || ' {{x}}' else text end as t from lines), c as (select *, {_CODE} as code from p)
+select page_no, block_index, case when code and coalesce(kind not in ('table', 'equation'), false) then 'code_block' else kind end as type from c where coalesce(kind in ('image_ref', 'table', 'equation'), false) or code""")
+def bypassed_paragraphs(spark, d):
+    """Paragraphs that aren't translated; code gets a type of its own."""
+    b = assemble.line_blocks(docs(spark, d)).withColumn("block_index", n(F.col("block_index")))
+    k = F.col("block_index") % 6
+    kind = F.when(k == 1, "image_ref").when(k == 2, "table").when(k == 3, "equation").when(k == 4, F.lit(None)).otherwise("text")
+    text = F.when(F.col("page_no") % 5 == 0, F.concat("text", F.lit(" {x}"))).otherwise(F.col("text"))
+    return corpus.bypassed(b.select("page_no", "block_index", kind.alias("type"), text.alias("text"))).select("page_no", "block_index", "type")
