@@ -104,6 +104,18 @@ def test_pages_of_one_template_rarely_meet(spark, monkeypatch):
     assert sum(compared) < 600 * 599 / 2 / 5, compared
 
 
+def test_ids_of_candidates_stay_off_the_driver(spark, monkeypatch):
+    """What is broadcast has a row for 32,768 bits of the digest, not one for each candidate; a digest that is full loses nothing."""
+    sent = []
+    monkeypatch.setattr(N, "broadcast", lambda df, f=N.broadcast: sent.append(df.count()) or f(df))
+    monkeypatch.setattr(N, "MOST_BITS", 1 << 16, raising=False)
+    rng = random.Random(5)
+    rows = [(i, f"a{i % 700} b{i % 700} " + " ".join(f"w{(i % 700) * 31 + k}" for k in range(40)) + (f" e{rng.random()}" if i % 3 else "")) for i in range(1400)]
+    rows += [(5000 + i, " ".join(f"l{i}x{k}" for k in range(9))) for i in range(300)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert all(n <= 2 for n in sent), sent
+
+
 def test_awkward_rows(awkward, nothing):
     got = [r for r in N.near_duplicates(awkward).collect()]
     by = {r.doc_id: r for r in got if r.doc_id is not None}

@@ -16,6 +16,7 @@ are merged by prefixes of the sets themselves (_unmet()).
 
 Hot keys are split: posts, pairs and holders are counted before they are joined, so both sides of a
 join know in how many parts a key is dealt; the side with few rows of it is copied to each part.
+Candidates' texts are picked in the scan by a digest of bounded size, then joined exactly.
 
 Defined results: texts without words, and null texts, have no shingles and no links; fewer than
 four words make one shingle of the whole sequence; repeated rows are each returned, rows that share
@@ -38,8 +39,10 @@ from .common import Words, materialise, mix, release, table, texts_udf
 K = 64
 T = 32
 WORDS = 4
-#: Ids that are broadcast at most to pick candidates' texts in the scan (some 100 bytes each in memory); beyond, the texts are joined.
-BROADCAST_IDS = 500_000
+#: Bits a candidate of the digest that picks texts in the scan, at least, and bits in all, at most (4 MB); a full digest lets more texts through to the exact join.
+DIGEST_BITS, MOST_BITS = 16, 1 << 25
+#: Bits of a page of the digest: those of Spark's bitmaps.
+PAGE_BITS = 32_768
 #: Members of a list that is joined as it is, at most.
 SHORT = 64
 #: Members of a list, pairs of a document, or holders of a shingle that one task gets of a hot one, about; a part of its own for each more.
@@ -197,9 +200,7 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
         "candidates",
     )
     ids = candidates.select("doc_id", "splits")
-    if ids.count() <= BROADCAST_IDS:
-        ids = broadcast(ids)
-    chosen = documents.select("doc_id", "text").join(ids, "doc_id")
+    chosen = _picked(documents.select("doc_id", "text"), ids).join(ids, "doc_id")
     sets = materialise(
         chosen.select("doc_id", "splits", texts_udf(_sets, "shingles array<long>, pairs array<long>")(F.col("text")).alias("s")).select("doc_id", "splits", "s.*").where(F.size("shingles") > 0),
         "sets",
@@ -247,6 +248,17 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return merged
 
 
+def _picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id is in ids, and a few others. Executors mark a bit for the hash of each id; only these pages of bits are broadcast, so the driver never holds the ids."""
+    bits = min(MOST_BITS, max(PAGE_BITS, 1 << (DIGEST_BITS * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marked = ids.select(bit.alias("bit")).selectExpr(f"bit div {PAGE_BITS} as page", f"bit % {PAGE_BITS} as at")
+    digest = marked.groupBy("page").agg(F.expr("bitmap_construct_agg(at)").alias("marks"))
+    byte = f"cast(conv(hex(substring(marks, cast(bit % {PAGE_BITS} div 8 as int) + 1, 1)), 16, 10) as int)"
+    on = F.expr(f"bit div {PAGE_BITS} = page and shiftright({byte}, cast(bit % 8 as int)) & 1 = 1")
+    return documents.withColumn("bit", bit).join(broadcast(digest), on, "left_semi").drop("bit")
+
+
 def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
     """Distinct pairs of rows of two tables; the one that may be in more pairs becomes p."""
     both = x.alias("x").join(y.alias("y"), F.expr(on))
