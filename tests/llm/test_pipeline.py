@@ -26,3 +26,21 @@ def test_stages_keep_the_columns(spark, awkward, sf):
         assert got.columns == docs.columns
         got.collect()
     assert {"n_tokens", "ids_sha256"} <= set(P.STAGES[-1][1](spark, docs, sf).columns)
+
+
+def test_pairs_are_written_before_links_are_confirmed(spark, monkeypatch):
+    """links() reads its pairs twice; both passes hand it a table, so no plan on the driver holds the steps before."""
+    handed = []
+    links = near_dedup.links
+    monkeypatch.setattr(near_dedup, "links", lambda pairs, sets: handed.append(hasattr(pairs, "_written_at")) or links(pairs, sets))
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, words + f" e{i}" * (i % 3), "en", "src0", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P._near_dedup(spark, docs, "").collect()] == [0]
+    assert handed == [True, True]
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """A small file can hold many rows: Spark would broadcast them by the file's size."""
+    few = spark.range(50).selectExpr("id as doc_id", "1 as splits", "id as label", "id % 5 as pair")
+    plan = near_dedup._pairs(few, few, "x.pair = y.pair")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

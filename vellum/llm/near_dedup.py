@@ -16,7 +16,8 @@ are merged by prefixes of the sets themselves (_unmet()).
 
 Hot keys are split: posts, pairs and holders are counted before they are joined, so both sides of a
 join know in how many parts a key is dealt; the side with few rows of it is copied to each part.
-Candidates' texts are picked in the scan by a digest of bounded size, then joined exactly.
+Exploded sides of joins are merged, never broadcast: their size is guessed from the files of the
+table before, which are far smaller than its rows. Candidates' texts are picked in the scan by a digest of bounded size, then joined exactly.
 
 Defined results: texts without words, and null texts, have no shingles and no links; fewer than
 four words make one shingle of the whole sequence; repeated rows are each returned, rows that share
@@ -192,7 +193,7 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     posted = classes.select("doc_id", F.explode("pairs").alias("pair"))
     counts = posted.groupBy("pair").agg(F.count("*").alias("posts")).where("posts > 1")
     candidates = materialise(
-        posted.join(counts, "pair")
+        posted.hint("merge").join(counts, "pair")
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("posts", "pair"))).alias("shared"))  # K at most
         .where(F.size("shared") >= T)
         .select("doc_id", F.expr(f"slice(shared, 1, size(shared) - {T - 1})").alias("prefix"), F.expr("aggregate(shared, 0L, (t, s) -> t + s.posts)").alias("central"))
@@ -227,7 +228,7 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     )
     to_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_part"))).alias("part")  # a long list meets copies of its pivot in several tasks
     first = (
-        lists.alias("x").join(pivots.select("pair", "pivot", "n", "m", "splits", to_parts).alias("y"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.pivot")) & F.expr(may.format("x", "y")))
+        lists.alias("x").join(pivots.select("pair", "pivot", "n", "m", "splits", to_parts).alias("y").hint("merge"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.pivot")) & F.expr(may.format("x", "y")))
         .select(F.col("pivot").alias("p"), F.col("doc_id").alias("q"), F.col("y.splits").alias("splits")).distinct()
     )
     first = materialise(first, "first")
@@ -235,14 +236,15 @@ def _merge(documents: DataFrame, classes: DataFrame) -> DataFrame:
     labels = components(found, 3)
     heads = pivots.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left").select("pair", "k", F.coalesce("main", "pivot").alias("main"), to_parts)
     named = materialise(
-        lists.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(heads, ["pair", "part"])
+        lists.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(heads.hint("merge"), ["pair", "part"])
         .select("pair", "k", "doc_id", "n", "m", "splits", "label", "main"),
         "named",
     )
     met = first.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     second = _unmet(named, sets, may).join(met, (F.least("p", "q") == F.col("a")) & (F.greatest("p", "q") == F.col("b")), "left_anti")
+    second = materialise(second, "second")  # links() reads the pairs twice: one plan of both would be the driver's largest
     more = materialise(links(second, sets), "links")
-    release(candidates, lists, first, named, sets)
+    release(candidates, lists, first, second, named, sets)
     merged = components(found.union(more))
     release(found, more)
     return merged
@@ -261,7 +263,7 @@ def _picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
     """Distinct pairs of rows of two tables; the one that may be in more pairs becomes p."""
-    both = x.alias("x").join(y.alias("y"), F.expr(on))
+    both = x.alias("x").join(y.alias("y").hint("merge"), F.expr(on))
     turned = both.selectExpr("x.splits > y.splits or (x.splits = y.splits and x.doc_id < y.doc_id) as straight", "x.doc_id as x", "y.doc_id as y", "greatest(x.splits, y.splits) as splits")
     return turned.select(F.when(F.col("straight"), F.col("x")).otherwise(F.col("y")).alias("p"), F.when(F.col("straight"), F.col("y")).otherwise(F.col("x")).alias("q"), "splits").distinct()
 
@@ -287,7 +289,7 @@ def _unmet(named: DataFrame, sets: DataFrame, may: str) -> DataFrame:
     held = sets.join(members, "doc_id").select("doc_id", "splits", "label", "n", "m", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"), part)
     held = materialise(held, "held")
     often = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(JUMPS - 1))))
-    ranked = held.join(often, ["shingle", "part"], "left").groupBy("doc_id", "splits", "label", "n", "m", "set", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "shingle"))).alias("s"))
+    ranked = held.join(often.hint("merge"), ["shingle", "part"], "left").groupBy("doc_id", "splits", "label", "n", "m", "set", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "shingle"))).alias("s"))
     placed = ranked.select("doc_id", "splits", "label", "n", "m", "size", F.posexplode(F.expr("slice(s, 1, size div 5 + 1)")).alias("at", "s"))
     placed = materialise(placed.where("s.holders > 1").select("doc_id", "splits", "label", "n", "m", "size", "at", "s.shingle", F.expr(f"s.holders div {SPLIT}").alias("last_part")), "placed")
     smaller = placed.where("at < size div 9 + 1").withColumn("part", F.expr("pmod(xxhash64(doc_id), last_part + 1)"))
