@@ -135,6 +135,50 @@ def test_frames_of_thin_rules_only(spark):
     assert [tuple(g) for g in got] == [(1, 0.0, 0.0, 150.0, 40.0)]
 
 
+def brute_frames(rows):
+    """Frames of one page, each pair held against each other."""
+    boxes = [r for r in rows if None not in r and r[2] > r[0] and r[3] > r[1]]
+    near = lambda a, b: a[0] - 3 < b[2] and b[0] < a[2] + 3 and a[1] - 3 < b[3] and b[1] < a[3] + 3
+    out, left = [], boxes
+    while left:
+        cluster, left = left[:1], left[1:]
+        for a in cluster:
+            cluster += [b for b in left if near(a, b)]
+            left = [b for b in left if not near(a, b)]
+        u = [f(c) for f, c in zip((min, min, max, max), zip(*cluster, strict=True), strict=True)]
+        if all(min(c[2] - c[0], c[3] - c[1]) <= 5 for c in cluster) and u[2] - u[0] > 60 and u[3] - u[1] > 25:
+            out.append(tuple(u))
+    return out
+
+
+def test_frames_of_many_pages_at_a_time(spark):
+    import random
+
+    rnd = random.Random(4)
+
+    def rect():
+        x, y, long = float(rnd.randrange(900)), float(rnd.randrange(900)), rnd.choice((0.0, 40.0, 90.0, 200.0))
+        thick = rnd.choice((1.0, 1.0, 1.0, 4.0, 9.0)) if rnd.random() < 0.3 else 2.0
+        return (x, y, x + long, y + thick) if rnd.random() < 0.5 else (x, y, x + thick, y + long)
+
+    pages = {None: 20, 2**60: 30, 2**60 + 1: 30, 5: 0} | {i: i * 7 % 60 for i in range(10, 60)} | {7: 400}
+    pages = {i: [rect() for _ in range(m)] for i, m in pages.items()}
+    pages[None] += [(2000.0, 0.0, 2100.0, 1.0), (2000.0, 0.0, 2001.0, 50.0)]
+    pages[8] = [(0.0, 0.0, 0.0, 5.0), (None, 0.0, 9.0, 9.0)]
+    pages[9] = [(float(4 * k), 0.0, float(4 * k + 2), 2.0) for k in range(300)][::-1] + [(float(4 * k), 30.0 + k % 2, float(4 * k + 2), 32.0) for k in range(300)] + [(596.0, 0.0, 598.0, 40.0)]  # a chain
+    want = sorted(((i, *f) for i, rows in pages.items() for f in brute_frames(rows)), key=str)
+    assert len(want) > 40 and {None, 2**60, 2**60 + 1, 7, 9} <= {w[0] for w in want}
+    df = spark.createDataFrame([(i, *r) for i, rows in pages.items() for r in rows], "page_no long, x0 double, y0 double, x1 double, y1 double")
+    for most in ("1", "37", "10000"):  # pages over several batches, and several pages in one
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = L.rule_frames(df)
+            assert sorted((tuple(r) for r in got.collect()), key=str) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no call for each page
+
+
 def paragraphs(*rows, size=10.0):
     return [L.Paragraph(i, L.Box(*map(float, box)), size, text, centred) for i, (box, text, centred) in enumerate(rows)]
 
