@@ -135,6 +135,30 @@ def test_frames_of_thin_rules_only(spark):
     assert [tuple(g) for g in got] == [(1, 0.0, 0.0, 150.0, 40.0)]
 
 
+def test_blocks_of_odd_pages_at_any_batch(spark):
+    line = lambda *spans: ([(t, s, f, n) for t, s, f, n in spans],)
+    box = (0.0, 0.125, 9.0, 9.0)
+    twice = [line((" \t“ﬁre”", 10.005, None, None), ("x\u00a0 ", 12.0, 2, "A")), line(("", 99.0, 0, "B"), ("re-", 12.0, 0, "SerifBLACK")), line(("do cafe\u0301 go", None, 16, "C"))]
+    blank = (0, box, [line((" \t\x0b", 8.0, 0, "A"))])
+    text = (0, box, twice)
+    plain = (0, None, [line(("plain", float("nan"), 0, "A"), (" one", float("nan"), 0, "A"), ("!", 3.0, 0, "Oblique"))])
+    odd = (0, box, [None, ([None, ("a", 1.0, 2, "A")],), (None,)])
+    rows = [(1, [blank, text, (1, box, twice), None, plain]), (2, None), (3, []), (4, [(0, box, None), (None, box, twice), odd]), (1, [plain])] + [(i, [text] * (i % 5)) for i in range(10, 40)]
+    fire = ('"fire"x redo café go', 12.0, 12.0, [(6, 8, True, False), (8, 20, False, True)])
+    one = ("plain one!", "nan", "nan", [(9, 10, True, False)])
+    want = [(1, 0, 0.13, *fire), (1, 1, None, *one), (1, 0, None, *one), (4, 0, 0.13, "a", 1.0, 1.0, [(0, 1, True, False)])] + [(i, k, 0.13, *fire) for i in range(10, 40) for k in range(i % 5)]
+    df = spark.createDataFrame(rows, f"page_no int, blocks array<{A.BLOCK}>")
+    for most in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = A.page_blocks(df)
+            found = got.collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(((r.page_no, r.block_index, r.y0, r.source_text, *(s if s == s else "nan" for s in r.style[:2]), [tuple(x) for x in r.style.runs]) for r in found), key=str) == sorted(want, key=str)
+    assert "aggregate(" not in got._jdf.queryExecution().toString()  # no fold of expressions over spans, which the engine interprets
+
+
 def brute_frames(rows):
     """Frames of one page, each pair held against each other."""
     boxes = [r for r in rows if None not in r and r[2] > r[0] and r[3] > r[1]]
