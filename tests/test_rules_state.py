@@ -369,3 +369,38 @@ def test_model_choice_probes_once():
     assert asked == ["a", "b", "a"]
     with pytest.raises(LookupError):
         overview.choose_model(["a"], probe, cache)
+
+
+def test_rules_search_and_do_not_split(spark):
+    """The cheap patterns give what the splitting ones gave, for odd characters too."""
+    import random
+    import re
+
+    from vellum.functions import text as T
+
+    rnd = random.Random(3)
+    bits = ["Anna", "(Bob's", "\"Carl.\"", "d'Eve", "the", "con", "CON", "Con.", "of the", "of  the", "xcon", "conx", "éclair", "naïve", "\U0001d400con", "con\U0001d400", "\U0001f600con", "Fritz!", "USA", "French", "is.", "ab", "abc", "A", "Anna-", "it’s", "’con", "<b>", "</b>", "<b", "\u0939con", "Zoe\u2028", "No.1"]
+    texts = ["", " ", "Anna", "Anna Bob"] + ["".join(rnd.choice(bits) + rnd.choice((" ", " ", " ", "\n", "  ", ". ", "?\t", "")) for _ in range(rnd.randrange(1, 25))) for _ in range(400)]
+    blank, edge = r"[\x20\x09-\x0D]+", "\"'()[],;:.!?"
+    word = lambda c: re.match(r"\w", c) is not None or "\u0300" <= c <= "\u036f"  # noqa: E731  of the characters above
+
+    def nouns(t):
+        inner = [w for s in re.split(rf"(?<=[.!?]){blank}", t) for w in [w for w in re.split(blank, s) if w][1:]]
+        bare = [w.strip(edge) for w in inner]
+        return sorted({w for w in bare if re.match(r"[A-Z][A-Za-z'&.-]+[A-Za-z]\u2028?$", w) and w != w.upper() and w.lower() not in (*T.SENTENCE_STARTERS, *T.DEMONYMS)})
+
+    def has(t, term):
+        low = t.lower()
+        return any(low.startswith(term, i) and not (i and word(t[i - 1])) and not (t[i + len(term) :] and word(t[i + len(term)])) for i in range(len(t)))
+
+    def words(t):
+        return ["".join(g) for g in re.findall(r"\w+", t)]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    t = F.col("t")
+    cols = [T.proper_nouns(t), T.has_term(t, "con"), T.has_term(t, "of the"), T.has_translatable(t), T.count_of(t, "<b>")]
+    got = df.select("k", *(c.alias(f"c{i}") for i, c in enumerate(cols)))
+    for r in got.collect():
+        s = texts[r.k]
+        assert (r.c0, r.c1, r.c2, r.c3, r.c4) == (nouns(s), has(s, "con"), has(s, "of the"), any(re.fullmatch("[a-z]{3,}", w) for w in words(s)), s.count("<b>")), s
+    assert "split(" not in got._jdf.queryExecution().toString()  # no list of every word of a text

@@ -90,19 +90,24 @@ def translatable_words(text: Column) -> Column:
 def title_words(text: Column) -> Column:
     """Words of letters, apostrophes and hyphens that begin with a letter."""
     w = r"[\p{L}\p{M}\p{N}_]"
-    return F.regexp_extract_all(text, F.lit(rf"(?<!{w})(?:[A-Za-z][A-Za-z'’-]*(?:[A-Za-z](?!{w})|['’-](?={w}))|[A-Za-z](?!{w}))"), 0)
+    return F.regexp_extract_all(text, F.lit(rf"[A-Za-z](?<!{w}[A-Za-z])(?:[A-Za-z'’-]*(?:[A-Za-z](?!{w})|['’-](?={w}))|(?!{w}))"), 0)
 
 
 def looks_like_title(text: Column) -> Column:
-    """At least two words, of which three fifths begin with a capital."""
+    """At least two words, of which three fifths begin with a capital, which sorts before all small letters."""
     return F.transform(
         F.array(title_words(text)),
-        lambda w: (F.size(w) >= 2) & (F.size(F.filter(w, lambda x: x.rlike("^[A-Z]"))) * 10 >= F.size(w) * 6),
+        lambda w: (F.size(w) >= 2) & (F.size(F.filter(w, lambda x: x < F.lit("a"))) * 10 >= F.size(w) * 6),
     )[0]
 
 
+def has_translatable(text: Column) -> Column:
+    """Has one of translatable_words(); the search ends at the first."""
+    return text.rlike(r"(^|[^\p{L}\p{M}\p{N}_])[a-z]{3,}+([^\p{L}\p{M}\p{N}_]|$)")
+
+
 def is_prose(text: Column) -> Column:
-    return (F.size(translatable_words(text)) > 0) & ~looks_like_title(text)
+    return has_translatable(text) & ~looks_like_title(text)
 
 
 def has_devanagari(text: Column) -> Column:
@@ -113,26 +118,19 @@ def has_devanagari_digits(text: Column) -> Column:
     return text.rlike("[०-९]")
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])[\x20\x09-\x0D]+")
-
-
 def proper_nouns(text: Column) -> Column:
     """Distinct capitalised words inside sentences that are neither openers, all capitals nor demonyms, sorted."""
     common = F.array(*map(F.lit, [*SENTENCE_STARTERS, *DEMONYMS]))
-
-    def inner(sentence: Column) -> Column:
-        parts = F.filter(F.split(sentence, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        return F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda w: w != F.lower(w))  # few have capitals
-
-    bare = F.transform(F.flatten(F.transform(sentences(text), inner)), lambda w: F.regexp_replace(w, r"^[\"'()\[\],;:.!?]+|[\"'()\[\],;:.!?]+$", ""))
+    # few words have a capital after the punctuation they begin with; a word inside a sentence follows one that doesn't end it
+    inner = F.regexp_extract_all(text, F.lit(r"(?<=[^.!?\x20\x09-\x0D])[\x20\x09-\x0D]++([\"'()\[\],;:.!?]*+[A-Z][^\x20\x09-\x0D]*+)"), F.lit(1))
+    bare = F.transform(inner, lambda w: F.regexp_replace(w, r"^[\"'()\[\],;:.!?]+|[\"'()\[\],;:.!?]+$", ""))
     named = F.filter(bare, lambda w: w.rlike(r"^[A-Z][A-Za-z'&.-]+[A-Za-z]$") & (w != F.upper(w)) & ~F.array_contains(common, F.lower(w)))
     return F.array_sort(F.array_distinct(named))
 
 
 def lexicon_words(text: Column) -> Column:
     """Words that begin with a lower-case letter outside a word, of two and more characters."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{M}\p{N}_])[a-z][a-z'’-]*(?:[a-z](?![\p{L}\p{M}\p{N}_])|['’-](?=[\p{L}\p{M}\p{N}_]))"), 0)
+    return F.regexp_extract_all(text, F.lit(r"[a-z](?<![\p{L}\p{M}\p{N}_][a-z])[a-z'’-]*(?:[a-z](?![\p{L}\p{M}\p{N}_])|['’-](?=[\p{L}\p{M}\p{N}_]))"), 0)
 
 
 def lexicon_key(word: Column) -> Column:
@@ -142,7 +140,7 @@ def lexicon_key(word: Column) -> Column:
 
 def count_of(text: Column, part: str) -> Column:
     """How often a fixed text occurs."""
-    return F.size(F.split(text, f"\\Q{part}\\E", -1)) - 1
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
 
 
 def unbalanced(text: Column, tag: str) -> Column:
@@ -182,7 +180,12 @@ def is_code(text: Column) -> Column:
 def has_term(text: Column, term: str) -> Column:
     """A term between non-word characters, in either case."""
     quoted = "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in term)
-    return text.rlike(rf"(?iu)(^|[^\p{{L}}\p{{M}}\p{{N}}_]){quoted}([^\p{{L}}\p{{M}}\p{{N}}_]|$)")
+    anywhere = text.rlike(rf"(?iu)(^|[^\p{{L}}\p{{M}}\p{{N}}_]){quoted}([^\p{{L}}\p{{M}}\p{{N}}_]|$)")
+    if not term or max(term) > "\uffff":
+        return anywhere
+    # the term first, which few places pass; what lies before it is seen a UTF-16 unit at a time, so not in texts with pairs of them
+    near = text.rlike(rf"(?iu){quoted}(?<![\p{{L}}\p{{M}}\p{{N}}_]{quoted})(?![\p{{L}}\p{{M}}\p{{N}}_])")
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), anywhere).otherwise(near)
 
 
 def block_id(page: Column, index: Column, text: Column) -> Column:
